@@ -1,3 +1,4 @@
 """Proof queries over the test tables; importing registers them all."""
 
 from labelforge.plans import prepare_proofs  # noqa: F401
+from labelforge.plans import metrics_proofs  # noqa: F401
