@@ -2,3 +2,5 @@
 
 from labelforge.plans import prepare_proofs  # noqa: F401
 from labelforge.plans import metrics_proofs  # noqa: F401
+from labelforge.plans import io_proofs  # noqa: F401
+from labelforge.plans import vector_proofs  # noqa: F401
