@@ -5,3 +5,4 @@ from labelforge.plans import metrics_proofs  # noqa: F401
 from labelforge.plans import io_proofs  # noqa: F401
 from labelforge.plans import vector_proofs  # noqa: F401
 from labelforge.plans import harvest_proofs  # noqa: F401
+from labelforge.plans import text_proofs  # noqa: F401
