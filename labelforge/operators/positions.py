@@ -47,6 +47,41 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], name: str = "p
                 .drop("_lf_pid", "_lf_local", "_lf_offset"))
 
 
+def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value: str,
+                        best: str = "best_so_far", prev: str = "prev_value",
+                        num_partitions: int | None = None) -> DataFrame:
+    """Per group in ``order_cols`` order: the running maximum of ``value`` and
+    the previous row's ``value``.
+
+    ``Window.partitionBy(group)`` would put a whole group in one task. Here the
+    rows are range-partitioned on (group, order), so a hot group is spread over
+    several partitions; each (partition, group) segment is scanned locally, and
+    the carry from the group's earlier segments (their maximum and last value)
+    comes from a summary table with one row per segment.
+    """
+    n = _partition_count(df, num_partitions)
+    ranged = (df.repartitionByRange(n, group, *order_cols)
+                .withColumn("_lf_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_lf_pid", group).orderBy(*order_cols)
+    local = (ranged
+             .withColumn("_lf_lmax", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_lf_lprev", F.lag(value).over(w))
+             .withColumn("_lf_first", F.row_number().over(w) == 1))
+    seg = ranged.groupBy("_lf_pid", group).agg(
+        F.max(value).alias("_lf_smax"),
+        F.max_by(value, F.struct(*order_cols)).alias("_lf_slast"))
+    ws = Window.partitionBy(group).orderBy("_lf_pid")
+    carry = seg.select(
+        "_lf_pid", group,
+        F.max("_lf_smax").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_lf_cmax"),
+        F.lag("_lf_slast").over(ws).alias("_lf_clast"))
+    out = local.join(carry, ["_lf_pid", group])
+    return (out.withColumn(best, F.greatest("_lf_lmax", "_lf_cmax"))
+               .withColumn(prev, F.when(F.col("_lf_first"), F.col("_lf_clast"))
+                                  .otherwise(F.col("_lf_lprev")))
+               .drop("_lf_pid", "_lf_lmax", "_lf_lprev", "_lf_first", "_lf_cmax", "_lf_clast"))
+
+
 def with_batch_id(df: DataFrame, order_cols: list[str | Column], batch_size: int,
                   pos: str = "pos", batch: str = "batch_id") -> DataFrame:
     """Fixed-size batches of consecutive rows in key order: ``floor(pos / n)``."""

@@ -6,3 +6,5 @@ from labelforge.plans import io_proofs  # noqa: F401
 from labelforge.plans import vector_proofs  # noqa: F401
 from labelforge.plans import harvest_proofs  # noqa: F401
 from labelforge.plans import text_proofs  # noqa: F401
+from labelforge.plans import trial_proofs  # noqa: F401
+from labelforge.plans import model_proofs  # noqa: F401

@@ -40,6 +40,10 @@ def _planned(spark, d):
 
 
 def _land_xml(spark, d):
+    return S.landed(spark, d, "_land_xml", lambda: _land_xml_now(spark, d))
+
+
+def _land_xml_now(spark, d):
     docs = S.table(spark, d, "documents")
     planned = _planned(spark, d)
     rec = planned.join(docs, "doc_id").select(

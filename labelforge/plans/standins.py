@@ -112,3 +112,16 @@ NLI_SQL = ("SELECT m.PMID, m.Title, m.Abstract, h.Hypothesis, "
            "h.Positive, CAST(h.Label_idx AS BIGINT) AS Label_idx, lower(m.Split) AS split_name "
            f"FROM ({MERGED_SQL}) m, {hypotheses_sql()} "
            "WHERE m.Split IN ('Train', 'Validation', 'Test')")
+
+
+# Landed fixtures (log trees, response bodies) are deterministic: land each
+# once per shared folder and input directory, then reuse it.
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    from labelforge.session import shared_dir
+    key = (shared_dir(spark), sf_dir, name)
+    if key not in _LANDED:
+        _LANDED[key] = build()
+    return _LANDED[key]
