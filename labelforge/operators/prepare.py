@@ -225,6 +225,38 @@ def build_nli(binary: DataFrame, spec: LabelSpec, key: str = "PMID",
                            *([SPLIT_NAME] if SPLIT_NAME in keep else []))
 
 
+def build_all(abstracts: DataFrame, binary_labels: DataFrame, soft_labels: DataFrame,
+              spec: LabelSpec, out_dir: str, key: str = "PMID") -> dict[str, str]:
+    """X4: binary, soft and NLI datasets in order, each written split-partitioned.
+
+    The abstracts are read once: persisted (memory, spilling to disk) for the
+    two joins, recomputed from the files if an executor holding blocks is lost.
+    """
+    from pyspark import StorageLevel
+    abstracts = abstracts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        paths = {name: f"{out_dir}/{name}_dataset" for name in ("binary", "soft", "nli")}
+        binary = build_binary(abstracts, binary_labels, spec, key)
+        binary.write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["binary"])
+        soft = build_soft(abstracts, soft_labels, spec, key)
+        soft.write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["soft"])
+        # the NLI set is expanded from the written binary set (lineage cut there)
+        written = binary.sparkSession.read.parquet(paths["binary"])
+        build_nli(written, spec, key).write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["nli"])
+    finally:
+        abstracts.unpersist()
+    return paths
+
+
+def labels_by_name(df: DataFrame, label_cols: list[str]) -> DataFrame:
+    """O2: label names in alphabetical order with their positive counts
+    (the vector itself keeps file order)."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("label_name"), qcol(c).cast("double").alias("y")) for c in label_cols])))
+    agg = long.groupBy("label_name").agg(F.sum("y").alias("positives"))
+    return agg.orderBy("label_name")
+
+
 def nli_summary(nli: DataFrame) -> DataFrame:
     """Count and entailment rate per (split, label, polarity)."""
     return (nli.groupBy(SPLIT_NAME, "Label_idx", "Positive")

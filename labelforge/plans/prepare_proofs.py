@@ -168,3 +168,29 @@ def nli_pair_text(spark, d):
     n = build_nli(spark, d)
     return n.select("PMID", "Positive", F.col("Abstract").alias("premise"),
                     F.col("Hypothesis").alias("hypothesis"), F.col("Entailment").alias("label"))
+
+
+@proof("labels_sorted",
+       "SELECT label_name, sum(y) AS positives FROM ("
+       f"SELECT 'quality' AS label_name, quality AS y FROM ({S.BINARY_SQL}) a UNION ALL "
+       f"SELECT 'toxic', toxic FROM ({S.BINARY_SQL}) b) u GROUP BY label_name")
+def labels_sorted(spark, d):
+    return prep.labels_by_name(S.binary_labels(spark, d), S.LABELS)
+
+
+@proof("build_all",
+       "SELECT 'binary' AS dataset, lower(Split) AS split_name, count(*) AS n "
+       f"FROM ({S.MERGED_SQL}) m WHERE Split IN ('Train', 'Validation', 'Test') GROUP BY 2 UNION ALL "
+       "SELECT 'soft', lower(Split), count(*) "
+       f"FROM ({S.SOFT_MERGED_SQL}) s WHERE Split IN ('Train', 'Validation', 'Test') GROUP BY 2 UNION ALL "
+       f"SELECT 'nli', split_name, count(*) FROM ({S.NLI_SQL}) n GROUP BY 2")
+def build_all(spark, d):
+    from labelforge.session import work_path
+    paths = prep.build_all(S.abstracts(spark, d), S.binary_labels(spark, d), S.soft_labels(spark, d),
+                           S.SPEC, work_path(spark, "hf-datasets"))
+    out = None
+    for name, path in paths.items():
+        part = (spark.read.parquet(path).groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
+                     .select(F.lit(name).alias("dataset"), "split_name", "n"))
+        out = part if out is None else out.unionByName(part)
+    return out
