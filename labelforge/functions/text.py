@@ -4,16 +4,23 @@ A token is a maximal run of non-blank characters. Sequences follow the
 encoder layout: ``[CLS] tokens [SEP]`` (single) or ``[CLS] a [SEP] b [SEP]``
 (pair), cut to the budget and padded with ``[PAD]``; the attention mask marks
 real positions with 1.
+
+Tokenising a long text is the expensive step, so the DataFrame helpers below
+tokenise once into a column and build everything else from that column (a
+column referenced several times is not re-evaluated; a nested expression
+would be). For premise/hypothesis pairs, tokenise the premise before the
+hypothesis expansion multiplies the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.schemas import MODEL_MAX_LENGTH
 
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
+BLANKS = " \t\n\r\f\u000b"
 
 
 def effective_length(max_seq_length: int, model_max_length: int = MODEL_MAX_LENGTH) -> int:
@@ -22,24 +29,34 @@ def effective_length(max_seq_length: int, model_max_length: int = MODEL_MAX_LENG
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens of the whole text (empty text → no tokens)."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Whitespace tokens of the whole text (blank text → no tokens); one
+    regex pass."""
+    return F.filter(F.split(F.btrim(text, F.lit(BLANKS)), r"\s+"), lambda x: x != "")
+
+
+def token_count(text: Column) -> Column:
+    """Number of whitespace tokens, without building the token array."""
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def _pad(seq: Column, n: int) -> Column:
     return F.concat(seq, F.array_repeat(F.lit(PAD), F.greatest(F.lit(n) - F.size(seq), F.lit(0))))
 
 
-def token_sequence(text: Column, n: int) -> Column:
-    """struct(input_tokens, attention_mask), both exactly ``n`` long."""
-    t = tokens(text)
-    kept = F.slice(t, 1, n - 2)
-    seq = F.concat(F.array(F.lit(CLS)), kept, F.array(F.lit(SEP)))
-    real = F.size(seq)
-    mask = F.concat(F.array_repeat(F.lit(1), real),
+def _mask(real: Column, n: int) -> Column:
+    return F.concat(F.array_repeat(F.lit(1), real),
                     F.array_repeat(F.lit(0), F.greatest(F.lit(n) - real, F.lit(0))))
-    return F.struct(_pad(seq, n).alias("input_tokens"), mask.alias("attention_mask"))
+
+
+def with_token_sequence(df: DataFrame, text_col: str, n: int,
+                        tokens_col: str | None = None) -> DataFrame:
+    """Adds ``input_tokens`` and ``attention_mask`` (both exactly ``n`` long)."""
+    t = F.col(tokens_col) if tokens_col else tokens(F.col(text_col))
+    staged = df.withColumn("_lf_seq", F.concat(F.array(F.lit(CLS)), F.slice(t, 1, n - 2),
+                                               F.array(F.lit(SEP))))
+    return (staged.withColumn("input_tokens", _pad(F.col("_lf_seq"), n))
+                  .withColumn("attention_mask", _mask(F.size("_lf_seq"), n))
+                  .drop("_lf_seq"))
 
 
 def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
@@ -58,24 +75,27 @@ def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
     return keep_a, keep_b
 
 
-def token_pair(premise: Column, hypothesis: Column, n: int) -> Column:
-    """struct(input_tokens, token_type_ids, attention_mask) for a text pair."""
-    a, b = tokens(premise), tokens(hypothesis)
-    ka, kb = pair_lengths(F.size(a), F.size(b), n - 3)
-    first = F.concat(F.array(F.lit(CLS)), F.slice(a, 1, ka), F.array(F.lit(SEP)))
-    second = F.concat(F.slice(b, 1, kb), F.array(F.lit(SEP)))
-    seq = F.concat(first, second)
-    pad = F.greatest(F.lit(n) - F.size(seq), F.lit(0))
-    types = F.concat(F.array_repeat(F.lit(0), F.size(first)), F.array_repeat(F.lit(1), F.size(second)),
-                     F.array_repeat(F.lit(0), pad))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(seq)), F.array_repeat(F.lit(0), pad))
-    return F.struct(_pad(seq, n).alias("input_tokens"), types.alias("token_type_ids"),
-                    mask.alias("attention_mask"))
+def with_token_pair(df: DataFrame, a_tokens: str, b_tokens: str, n: int) -> DataFrame:
+    """Adds ``input_tokens``, ``token_type_ids``, ``attention_mask`` for a pair
+    whose token arrays are already columns."""
+    ka, kb = pair_lengths(F.size(a_tokens), F.size(b_tokens), n - 3)
+    staged = df.select(
+        "*",
+        F.concat(F.array(F.lit(CLS)), F.slice(a_tokens, 1, ka), F.array(F.lit(SEP))).alias("_lf_first"),
+        F.concat(F.slice(b_tokens, 1, kb), F.array(F.lit(SEP))).alias("_lf_second"))
+    lf, ls = F.size("_lf_first"), F.size("_lf_second")
+    pad = F.greatest(F.lit(n) - lf - ls, F.lit(0))
+    return (staged
+            .withColumn("input_tokens", _pad(F.concat("_lf_first", "_lf_second"), n))
+            .withColumn("token_type_ids", F.concat(F.array_repeat(F.lit(0), lf), F.array_repeat(F.lit(1), ls),
+                                                   F.array_repeat(F.lit(0), pad)))
+            .withColumn("attention_mask", _mask(lf + ls, n))
+            .drop("_lf_first", "_lf_second"))
 
 
 def is_truncated(text: Column, n: int) -> Column:
     """True when the text needs more than ``n`` positions with [CLS]/[SEP]."""
-    return (F.size(tokens(text)) + 2) > n
+    return (token_count(text) + 2) > n
 
 
 def padded_width(max_len: Column, multiple: int = 8) -> Column:
@@ -83,8 +103,13 @@ def padded_width(max_len: Column, multiple: int = 8) -> Column:
     return (F.ceil(max_len / F.lit(multiple)) * multiple).cast("int")
 
 
-def overlap_score(premise: Column, hypothesis: Column) -> Column:
-    """Share of the hypothesis' distinct lower-cased tokens found in the premise."""
-    h = F.array_distinct(tokens(F.lower(hypothesis)))
-    p = tokens(F.lower(premise))
-    return F.when(F.size(h) > 0, F.size(F.array_intersect(p, h)) / F.size(h)).otherwise(F.lit(0.0))
+def token_set(text: Column) -> Column:
+    """Distinct lower-cased tokens (the overlap scorer's view of a text)."""
+    return F.array_distinct(tokens(F.lower(text)))
+
+
+def overlap_score_sets(premise_set: Column, hypothesis_set: Column) -> Column:
+    """Share of the hypothesis' distinct tokens found in the premise."""
+    return F.when(F.size(hypothesis_set) > 0,
+                  F.size(F.array_intersect(premise_set, hypothesis_set)) / F.size(hypothesis_set)
+                  ).otherwise(F.lit(0.0))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions.labels import decode_multi_hot, python_list_text, threshold_scores
-from labelforge.functions.text import overlap_score
+from labelforge.functions.text import overlap_score_sets, token_set
 
 
 # V7 -------------------------------------------------------------------------
@@ -83,11 +83,18 @@ def predict_labels(model: TextClassifier, df: DataFrame, label_names: list[str],
 
 # V9 -------------------------------------------------------------------------
 def zero_shot_scores(pairs: DataFrame, premise: str = "Abstract", hypothesis: str = "Hypothesis",
-                     label: str = "Entailment") -> DataFrame:
+                     label: str = "Entailment", premise_set: str | None = None) -> DataFrame:
     """Built-in pair scorer: share of hypothesis tokens found in the premise;
-    logits [1 - s, s]; entailment = argmax (ties → not entailed)."""
-    s = overlap_score(F.col(premise), F.col(hypothesis))
-    out = pairs.select("PMID", "Label_idx", "Positive", F.col(label).alias("label"), s.alias("score"))
+    logits [1 - s, s]; entailment = argmax (ties → not entailed).
+
+    Pass ``premise_set`` (a column of ``token_set(premise)`` computed before
+    the hypothesis expansion) so a premise is tokenised once, not once per
+    hypothesis.
+    """
+    p = F.col(premise_set) if premise_set else token_set(F.col(premise))
+    staged = pairs.withColumn("_lf_h", token_set(F.col(hypothesis)))
+    s = overlap_score_sets(p, F.col("_lf_h"))
+    out = staged.select("PMID", "Label_idx", "Positive", F.col(label).alias("label"), s.alias("score"))
     return out.withColumn("pred", F.when(F.col("score") > 1 - F.col("score"), 1).otherwise(0))
 
 

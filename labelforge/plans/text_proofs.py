@@ -37,8 +37,8 @@ def _mask_sql(x: str, n: int) -> str:
        f"SELECT doc_id, {_seq_sql('text', N)} AS input_tokens, {_mask_sql('text', N)} AS attention_mask "
        "FROM documents")
 def token_sequences(spark, d):
-    docs = S.table(spark, d, "documents")
-    return docs.select("doc_id", F.inline(F.array(X.token_sequence(F.col("text"), N))))
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    return X.with_token_sequence(docs, "text", N).select("doc_id", "input_tokens", "attention_mask")
 
 
 def _pair_sql(n: int) -> str:
@@ -64,17 +64,24 @@ PAIR_SQL = (
     f"FROM ({S.NLI_SQL}) n")
 
 
-def _nli(spark, d):
+def _nli(spark, d, premise_col=None, premise_expr=None):
+    """NLI pairs; with ``premise_expr`` the premise is tokenised on the
+    labelled rows, before the hypothesis expansion, and carried instead of
+    the text."""
     binary = prep.build_binary(S.abstracts(spark, d), S.binary_labels(spark, d), S.SPEC,
                                with_index=False)
-    return prep.build_nli(binary, S.SPEC)
+    if premise_expr is None:
+        return prep.build_nli(binary, S.SPEC)
+    binary = binary.withColumn(premise_col, premise_expr)
+    return prep.build_nli(binary, S.SPEC, keep=[premise_col, "split_name"])
 
 
 @proof("token_pairs", PAIR_SQL)
 def token_pairs(spark, d):
-    n = _nli(spark, d)
-    return n.select("PMID", "Label_idx", "Positive",
-                    F.inline(F.array(X.token_pair(F.col("Abstract"), F.col("Hypothesis"), N))))
+    n = _nli(spark, d, "_a", X.tokens(F.col("Abstract")))
+    n = n.withColumn("_b", X.tokens(F.col("Hypothesis")))
+    return X.with_token_pair(n, "_a", "_b", N).select(
+        "PMID", "Label_idx", "Positive", "input_tokens", "token_type_ids", "attention_mask")
 
 
 @proof("truncation_rate",
@@ -93,7 +100,7 @@ def truncation_rate(spark, d):
        "FROM documents) b GROUP BY batch_id")
 def batch_pad_width(spark, d):
     docs = S.table(spark, d, "documents")
-    lens = docs.select("doc_id", F.least(F.size(X.tokens(F.col("text"))) + 2, F.lit(N)).alias("len"))
+    lens = docs.select("doc_id", F.least(X.token_count(F.col("text")) + 2, F.lit(N)).alias("len"))
     batched = with_batch_id(lens, ["doc_id"], 8)
     return batched.groupBy("batch_id").agg(X.padded_width(F.max("len"), 8).alias("pad_width"))
 
@@ -108,16 +115,21 @@ ZS_SQL = (f"SELECT PMID, Label_idx, Positive, Entailment AS label, {OVERLAP_SQL}
        "SELECT PMID, Label_idx, Positive, label, round(score, 6) AS score, "
        f"CASE WHEN score > 1 - score THEN 1 ELSE 0 END AS pred FROM ({ZS_SQL}) z")
 def zero_shot_scores(spark, d):
-    z = MD.zero_shot_scores(_nli(spark, d))
+    z = _zero_shot(spark, d)
     return z.select("PMID", "Label_idx", "Positive", "label", F.round("score", 6).alias("score"), "pred")
 
 
+def _zero_shot(spark, d):
+    pairs = _nli(spark, d, "_p", X.token_set(F.col("Abstract")))
+    return MD.zero_shot_scores(pairs, premise_set="_p")
+
+
 @proof("nli_collapse",
        "SELECT PMID, Label_idx, round(sum(CASE WHEN Positive THEN score ELSE -score END), 6) AS margin, "
        f"sum(CASE WHEN Positive THEN score ELSE -score END) > 0 AS decision FROM ({ZS_SQL}) z "
        "GROUP BY PMID, Label_idx")
 def nli_collapse(spark, d):
-    c = MD.nli_collapse(MD.zero_shot_scores(_nli(spark, d)))
+    c = MD.nli_collapse(_zero_shot(spark, d))
     return c.select("PMID", "Label_idx", F.round("margin", 6).alias("margin"), "decision")
 
 

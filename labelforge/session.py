@@ -21,6 +21,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # log trees have one directory per trial: list up to 10k directories per
+    # level on the driver instead of launching a one-task-per-directory
+    # listing job for each level (beyond that, the distributed listing wins)
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "10000",
 }
 
 
