@@ -98,8 +98,14 @@ def well_formed(records: pd.Series) -> pd.Series:
 
 
 def quarantine(records: DataFrame, record_col: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) records. In ``good`` the record column is re-derived from
+    the check's result, so no XPath filter on it can be pushed below the
+    check and meet a malformed record."""
     flagged = records.withColumn("_lf_ok", well_formed(F.col(record_col)))
-    return (flagged.filter("_lf_ok").drop("_lf_ok"), flagged.filter(~F.col("_lf_ok")).drop("_lf_ok"))
+    good = (flagged.filter(F.col("_lf_ok"))
+                   .withColumn(record_col, F.when(F.col("_lf_ok"), F.col(record_col)))
+                   .drop("_lf_ok"))
+    return good, flagged.filter(~F.col("_lf_ok")).drop("_lf_ok")
 
 
 # F2 - F5 --------------------------------------------------------------------
