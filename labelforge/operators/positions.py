@@ -47,6 +47,18 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], name: str = "p
                 .drop("_lf_pid", "_lf_local", "_lf_offset"))
 
 
+def with_key_index(df: DataFrame, key: str, name: str = "pos",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Position in ``key`` order for a table whose key is unique.
+
+    Only the keys are range-shuffled; the positions are joined back on the
+    key. When the table is already hash-partitioned on the key (e.g. it is the
+    output of a sort-merge join on it), the wide rows do not move again.
+    """
+    idx = with_row_index(df.select(key), [key], name, num_partitions)
+    return df.join(idx, key)
+
+
 def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value: str,
                         best: str = "best_so_far", prev: str = "prev_value",
                         num_partitions: int | None = None) -> DataFrame:

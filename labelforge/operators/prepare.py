@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.labels import (label_columns_by_position, negate_label,
                                          pack_labels, qcol)
-from labelforge.operators.positions import with_row_index
+from labelforge.operators.positions import with_key_index, with_row_index
 from labelforge.schemas import SPLIT_VALUES, LabelSpec
 
 INDEX_COL = "__index_level_0__"
@@ -167,15 +167,19 @@ def missing_ids(requested: DataFrame, received: DataFrame, key: str) -> DataFram
 # X1 / X2 --------------------------------------------------------------------
 def build_labelled(abstracts: DataFrame, labels: DataFrame, spec: LabelSpec,
                    key: str = "PMID", split_col: str = "Split",
-                   with_index: bool = True) -> DataFrame:
+                   with_index: bool = True, unique_key: bool = True) -> DataFrame:
     """abstracts ⋈ labels → label vector → split filter (→ row position).
 
     One DataFrame with a ``split_name`` column; write it partitioned by it.
+    With ``unique_key`` (one abstract and one label row per id, as in the
+    corpus files) the position is computed on the ids alone and joined back,
+    so the texts are not range-shuffled a second time.
     """
     merged = join_labels(abstracts, labels, key)
     merged = with_label_vector(merged, spec.labels)
     if with_index:
-        merged = with_position(merged, [key])
+        merged = (with_key_index(merged, key, INDEX_COL) if unique_key
+                  else with_position(merged, [key]))
     return split_filter(merged, split_col)
 
 
