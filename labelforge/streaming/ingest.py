@@ -23,10 +23,29 @@ def parsed_stream(spark: SparkSession, src_dir: str, key: str = "PMID") -> DataF
                   .dropDuplicates([key]))
 
 
+def parsed_stream_bounded(spark: SparkSession, src_dir: str, key: str = "PMID",
+                          delay: str = "1 day") -> DataFrame:
+    """Same parse for an endless feed: duplicates are dropped within a
+    watermark on the body's landing time, so the dedup state only holds ids
+    seen within ``delay`` of the newest landed file."""
+    raw = (spark.readStream.text(src_dir, wholetext=True)
+                .select(F.col("value").alias("body"),
+                        F.col("_metadata.file_modification_time").alias("landed_at")))
+    records = H.xml_records(raw)
+    r = F.col("record")
+    parsed = records.filter(H.has_abstract(r)).select(
+        H.record_pmid(r).cast("long").alias(key), H.abstract_text(r).alias("Abstract"), "landed_at")
+    return (parsed.withWatermark("landed_at", delay)
+                  .dropDuplicatesWithinWatermark([key])
+                  .drop("landed_at"))
+
+
 def ingest_available(spark: SparkSession, src_dir: str, out_dir: str, checkpoint_dir: str,
-                     key: str = "PMID") -> DataFrame:
+                     key: str = "PMID", bounded_state: bool = False) -> DataFrame:
     """Process every body that has landed so far, then stop; return the table."""
-    q = (parsed_stream(spark, src_dir, key).writeStream
+    stream = (parsed_stream_bounded(spark, src_dir, key) if bounded_state
+              else parsed_stream(spark, src_dir, key))
+    q = (stream.writeStream
          .format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True)
