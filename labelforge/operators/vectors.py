@@ -1,16 +1,25 @@
 """Label-attention table operators over embedding vectors.
 
-The label side (C label vectors) is a few rows. It is folded into ONE value, an
-array of (label_idx, vector, norm) structs, by a scalar subquery; every row then
-scores against all C labels with higher-order functions inside its own task.
-No N×C join or shuffle is planned, and the folded value is size-checked at run
-time against ``max_labels``.
+The label side (C label vectors) is a few rows; no N×C join or shuffle is ever
+planned. Two ways to score every row against all C labels inside its own task:
+
+* ``method="arrow"`` (default): the C×D label matrix is collected behind a hard
+  size check (at most ``max_labels`` rows, else an error) and broadcast once;
+  an Arrow-batched pandas UDF scores a whole batch with one matrix product.
+  Vector arithmetic in higher-order SQL functions is interpreted per element,
+  so for embedding widths this is one to two orders of magnitude faster.
+* ``method="sql"``: the label vectors are folded into ONE value (array of
+  structs) by a scalar subquery and scored with built-in higher-order
+  functions; no Python, size-checked at run time with ``raise_error``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelforge.functions.vectors import cosine, dot, floored_norm
 from labelforge.schemas import NORM_EPS
@@ -18,6 +27,62 @@ from labelforge.schemas import NORM_EPS
 MAX_LABELS = 4096
 
 
+# Arrow path -------------------------------------------------------------------
+class LabelMatrix:
+    """C label vectors (ids ascending) as a broadcast numpy matrix."""
+
+    def __init__(self, label_vectors: DataFrame, vec_col: str = "vec", bias_col: str | None = None,
+                 max_labels: int = MAX_LABELS):
+        cols = [F.col("label_idx").cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")]
+        if bias_col:
+            cols.append(F.col(bias_col).cast("double").alias("b"))
+        rows = label_vectors.select(*cols).orderBy("i").limit(max_labels + 1).collect()
+        if len(rows) > max_labels:
+            raise ValueError(f"more than {max_labels} label vectors; refusing to broadcast them")
+        self.ids = np.array([r.i for r in rows], dtype=np.int64)
+        w = np.array([r.v for r in rows], dtype=np.float64)
+        b = np.array([r.b for r in rows], dtype=np.float64) if bias_col else np.zeros(len(rows))
+        sc = label_vectors.sparkSession.sparkContext
+        self._bc = sc.broadcast((self.ids, w, b))
+
+    def scores(self, vec: Column, kind: str = "cosine", eps: float = NORM_EPS) -> Column:
+        """array<double> per row, label order: ``cosine``, ``linear`` (x·w + b)
+        or ``attended`` (linear × cosine)."""
+        bc = self._bc
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def score(v: pd.Series) -> pd.Series:
+            _ids, w, b = bc.value
+            if len(v) == 0:
+                return pd.Series([], dtype=object)
+            x = np.stack(v.to_numpy()).astype(np.float64)
+            raw = x @ w.T
+            if kind == "linear":
+                out = raw + b
+            else:
+                nx = np.maximum(np.linalg.norm(x, axis=1), eps)[:, None]
+                nw = np.maximum(np.linalg.norm(w, axis=1), eps)[None, :]
+                cos = raw / (nx * nw)
+                out = cos if kind == "cosine" else (raw + b) * cos
+            return pd.Series(list(out))
+
+        return score(vec)
+
+    def label_ids(self) -> Column:
+        return F.array(*[F.lit(int(i)).cast("long") for i in self.ids])
+
+    def nearest(self, vec: Column, eps: float = NORM_EPS) -> Column:
+        """Label id with the highest cosine (ties → lower id)."""
+        cs = self.scores(vec, "cosine", eps)
+        return F.element_at(self.label_ids(), F.array_position(cs, F.array_max(cs)).cast("int"))
+
+    def long_form(self, df: DataFrame, key: str, vec_col: str, kind: str = "cosine",
+                  name: str = "score") -> DataFrame:
+        scored = df.select(key, F.arrays_zip(self.label_ids().alias("label_idx"),
+                                             self.scores(F.col(vec_col), kind).alias(name)).alias("z"))
+        return scored.select(key, F.inline("z"))
+
+
 def vector_dim(df: DataFrame, vec_col: str) -> int:
     row = df.select(F.size(vec_col).alias("n")).first()
     if row is None:
@@ -82,8 +147,10 @@ def cosine_scores(vec: Column, labels: Column, eps: float = NORM_EPS) -> Column:
 
 
 def cosine_label_matrix(df: DataFrame, key: str, vec_col: str,
-                        label_vectors: DataFrame) -> DataFrame:
+                        label_vectors: DataFrame, method: str = "arrow") -> DataFrame:
     """Long form (key, label_idx, cosine) of the N×C similarity matrix."""
+    if method == "arrow":
+        return LabelMatrix(label_vectors).long_form(df, key, vec_col, "cosine", "cosine")
     labels = F.col("_lf_labels")
     scored = attach_labels(df, label_vectors).select(key, F.arrays_zip(
         F.transform(labels, lambda lab: lab["label_idx"]).alias("label_idx"),

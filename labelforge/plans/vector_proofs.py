@@ -67,21 +67,35 @@ def cosine_label_matrix(spark, d):
     return m.select("vec_id", "label_idx", F.round("cosine", 6).alias("cosine"))
 
 
+@proof("cosine_label_matrix_sql",
+       f"SELECT vec_id, label_idx, round(cosine, 6) AS cosine FROM ({PAIRS_SQL}) x")
+def cosine_label_matrix_sql(spark, d):
+    # built-in higher-order functions only (no Python), label fold by scalar subquery
+    m = V.cosine_label_matrix(_emb(spark, d), "vec_id", "embedding", _protos(spark, d), method="sql")
+    return m.select("vec_id", "label_idx", F.round("cosine", 6).alias("cosine"))
+
+
+def _long(spark, d, kind):
+    lm = V.LabelMatrix(_weights(spark, d), bias_col="b")
+    out = lm.long_form(_emb(spark, d), "vec_id", "embedding", kind, "score")
+    return out.select("vec_id", "label_idx", F.round("score", 6).alias("score"))
+
+
 @proof("linear_scores",
        f"SELECT vec_id, label_idx, round(linear, 6) AS score FROM ({PAIRS_SQL}) x")
 def linear_scores(spark, d):
-    w = F.col("_lf_labels")
-    emb = V.attach_labels(_emb(spark, d), _weights(spark, d), extra=["b"])
-    out = emb.select("vec_id", F.arrays_zip(
-        F.transform(w, lambda x: x["label_idx"]).alias("label_idx"),
-        V.linear_scores(F.col("embedding"), w).alias("score")).alias("z"))
-    return out.select("vec_id", F.inline("z")).select(
-        "vec_id", "label_idx", F.round("score", 6).alias("score"))
+    return _long(spark, d, "linear")
 
 
 @proof("label_attended_scores",
        f"SELECT vec_id, label_idx, round(linear * cosine, 6) AS score FROM ({PAIRS_SQL}) x")
 def label_attended_scores(spark, d):
+    return _long(spark, d, "attended")
+
+
+@proof("label_attended_scores_sql",
+       f"SELECT vec_id, label_idx, round(linear * cosine, 6) AS score FROM ({PAIRS_SQL}) x")
+def label_attended_scores_sql(spark, d):
     w = F.col("_lf_labels")
     emb = V.attach_labels(_emb(spark, d), _weights(spark, d), extra=["b"])
     out = emb.select("vec_id", F.arrays_zip(
@@ -91,10 +105,18 @@ def label_attended_scores(spark, d):
         "vec_id", "label_idx", F.round("score", 6).alias("score"))
 
 
-@proof("nearest_label",
-       "SELECT vec_id, label, CAST(arg_max(label_idx, cosine * 1e12 - label_idx) AS BIGINT) AS pred "
-       f"FROM ({PAIRS_SQL}) x GROUP BY vec_id, label")
+NEAREST_SQL = ("SELECT vec_id, label, CAST(arg_max(label_idx, cosine * 1e12 - label_idx) AS BIGINT) AS pred "
+               f"FROM ({PAIRS_SQL}) x GROUP BY vec_id, label")
+
+
+@proof("nearest_label", NEAREST_SQL)
 def nearest_label(spark, d):
+    lm = V.LabelMatrix(_protos(spark, d))
+    return _emb(spark, d).select("vec_id", "label", lm.nearest(F.col("embedding")).alias("pred"))
+
+
+@proof("nearest_label_sql", NEAREST_SQL)
+def nearest_label_sql(spark, d):
     emb = V.attach_labels(_emb(spark, d), _protos(spark, d))
     return emb.select("vec_id", "label",
                       V.nearest_label(F.col("embedding"), F.col("_lf_labels")).alias("pred"))
@@ -102,8 +124,7 @@ def nearest_label(spark, d):
 
 @proof("nearest_label_accuracy",
        "SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ("
-       "SELECT vec_id, label, arg_max(label_idx, cosine * 1e12 - label_idx) AS pred "
-       f"FROM ({PAIRS_SQL}) x GROUP BY vec_id, label) n")
+       f"{NEAREST_SQL}) n")
 def nearest_label_accuracy(spark, d):
     n = nearest_label(spark, d)
     return n.agg(F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))

@@ -78,3 +78,22 @@ def test_trial_report_skips_missing_names(spark):
                                                       "eval_loss double, eval_f1_micro double")
     r = TR.trial_report(df, "multi_label_classification")
     assert r.columns == ["trial_id", "training_iteration", "loss", "f1_micro"]
+
+
+def test_arrow_and_sql_paths_agree_and_size_check(spark):
+    import pytest
+    protos = spark.createDataFrame([(0, [1.0, 0.0], 0.5), (1, [1.0, 0.0], 0.0), (2, [0.0, 2.0], -1.0)],
+                                   "label_idx long, vec array<double>, b double")
+    rows = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id long, v array<double>")
+    lm = V.LabelMatrix(protos, bias_col="b")
+    a = {(r.id, r.label_idx): round(r.score, 9) for r in lm.long_form(rows, "id", "v", "attended").collect()}
+    w = F.col("_lf_labels")
+    s = V.attach_labels(rows, protos, extra=["b"]).select(
+        "id", F.arrays_zip(F.transform(w, lambda x: x["label_idx"]).alias("label_idx"),
+                           V.label_attended_scores(F.col("v"), w).alias("score")).alias("z"))
+    b = {(r.id, r.label_idx): round(r.score, 9) for r in s.select("id", F.inline("z")).collect()}
+    assert a == b
+    near = rows.select("id", lm.nearest(F.col("v")).alias("p")).collect()
+    assert {r.id: r.p for r in near} == {1: 0, 2: 0, 3: 0}
+    with pytest.raises(ValueError):
+        V.LabelMatrix(protos, max_labels=2)
