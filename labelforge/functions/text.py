@@ -30,8 +30,9 @@ def effective_length(max_seq_length: int, model_max_length: int = MODEL_MAX_LENG
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens of the whole text (blank text → no tokens); one
-    regex pass."""
-    return F.filter(F.split(F.btrim(text, F.lit(BLANKS)), r"\s+"), lambda x: x != "")
+    regex pass, no per-token lambda."""
+    t = F.btrim(text, F.lit(BLANKS))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
 def token_count(text: Column) -> Column:
