@@ -10,7 +10,6 @@ session's shared folder in the layouts a search run leaves behind.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelforge.operators import trials as TR
 from labelforge.plans import standins as S

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelforge.functions.vectors import floored_norm
 from labelforge.operators import vectors as V
 from labelforge.plans import standins as S
 from labelforge.plans.registry import proof
