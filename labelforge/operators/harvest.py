@@ -100,8 +100,10 @@ def well_formed(records: pd.Series) -> pd.Series:
 def quarantine(records: DataFrame, record_col: str = "record") -> tuple[DataFrame, DataFrame]:
     """(good, bad) records. In ``good`` the record column is re-derived from
     the check's result, so no XPath filter on it can be pushed below the
-    check and meet a malformed record."""
-    flagged = records.withColumn("_lf_ok", well_formed(F.col(record_col)))
+    check and meet a malformed record. The check is declared nondeterministic
+    so the optimizer keeps it in one place (a deterministic UDF would be copied
+    into the pushed-down filter and run twice)."""
+    flagged = records.withColumn("_lf_ok", well_formed.asNondeterministic()(F.col(record_col)))
     good = (flagged.filter(F.col("_lf_ok"))
                    .withColumn(record_col, F.when(F.col("_lf_ok"), F.col(record_col)))
                    .drop("_lf_ok"))
@@ -127,11 +129,28 @@ def mesh_ids(record: Column) -> Column:
     return F.xpath(record, F.lit("//MeshHeading/DescriptorName/@UI"))
 
 
+def record_header(record: Column) -> Column:
+    """One XPath evaluation giving ``<number of Abstract elements>|<PMID>``."""
+    return F.xpath_string(record, F.lit(
+        "concat(count(/PubmedArticle/MedlineCitation/Article/Abstract), '|', "
+        "(/PubmedArticle/MedlineCitation/PMID)[1])"))
+
+
 def abstracts_from_records(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """(PubMedID, Abstract); records without an abstract are dropped."""
+    """(PubMedID, Abstract); records without an abstract are dropped.
+
+    Each XPath call parses the record again, so the presence test and the id
+    come from one call (the header), the text nodes from a second one, and the
+    drop is a generator over 0 or 1 rows rather than a filter (a filter would
+    be pushed below the projection and repeat the header's parse).
+    """
     r = F.col(record_col)
-    return (records.filter(has_abstract(r))
-                   .select(record_pmid(r).alias("PubMedID"), abstract_text(r).alias("Abstract")))
+    staged = records.select(r, record_header(r).alias("_lf_h"))
+    head = F.split(F.col("_lf_h"), r"\|", 2)
+    row = F.struct(head[1].alias("PubMedID"), abstract_text(r).alias("Abstract"))
+    kept = F.when(head[0] != "0", F.array(row)).otherwise(F.array().cast(
+        "array<struct<PubMedID:string,Abstract:string>>"))
+    return staged.select(F.inline(kept))
 
 
 def abstracts_with_fallback(records: DataFrame, record_col: str = "record") -> DataFrame:
