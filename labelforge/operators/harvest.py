@@ -49,22 +49,28 @@ def batch_id_strings(planned: DataFrame, key: str) -> DataFrame:
 
 def request_text(ids: Column, retmode: str | None = "text", rettype: str | None = "abstract",
                  retstart: int | None = None, retmax: int | None = None,
-                 base: str = REQUEST_BASE) -> Column:
-    """Request string: base, ``&id=``, then each optional part only when set."""
+                 base: str = REQUEST_BASE, extra: dict[str, str] | None = None) -> Column:
+    """Request string: base, ``&id=``, then each optional part only when set,
+    then any extra ``&key=value`` parameters in the given order."""
     parts = [F.lit(base), F.lit("&id="), ids]
     for name, value in (("retmode", retmode), ("rettype", rettype),
-                        ("retstart", retstart), ("retmax", retmax)):
+                        ("retstart", retstart), ("retmax", retmax), *(extra or {}).items()):
         if value is not None:
             parts.append(F.lit(f"&{name}={value}"))
     return F.concat(*parts)
 
 
 # F1 -------------------------------------------------------------------------
-def split_text_records(body: Column, separator: str = TEXT_RECORD_SEPARATOR) -> Column:
-    """Text body → array of records, each stripped of surrounding white space."""
+def split_text_records(body: Column, separator: str = TEXT_RECORD_SEPARATOR,
+                       n_ids: Column | None = None) -> Column:
+    """Text body → array of records, each stripped of surrounding white space.
+
+    A body fetched for a single id is never split: it is one record, as is.
+    """
     import re
     parts = F.split(body, re.escape(separator))
-    return F.transform(parts, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    split = F.transform(parts, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return split if n_ids is None else F.when(n_ids == 1, F.array(body)).otherwise(split)
 
 
 # S8 -------------------------------------------------------------------------

@@ -98,3 +98,11 @@ def test_request_text_optional_parts(spark):
     df = spark.createDataFrame([("1,2,3",)], "ids string")
     r = df.select(H.request_text(F.col("ids"), retmode="xml", rettype=None, retmax=250)).first()[0]
     assert r.endswith("&id=1,2,3&retmode=xml&retmax=250")
+
+
+def test_single_id_body_is_not_split_and_extra_request_parts(spark):
+    df = spark.createDataFrame([(" one\n\n\ntwo ", 1), (" one\n\n\ntwo ", 2)], "b string, n long")
+    got = [r[0] for r in df.select(H.split_text_records(F.col("b"), n_ids=F.col("n"))).collect()]
+    assert got == [[" one\n\n\ntwo "], ["one", "two"]]
+    r = df.select(H.request_text(F.lit("7"), extra={"api_key": "k"})).first()[0]
+    assert r.endswith("&id=7&retmode=text&rettype=abstract&api_key=k")
