@@ -126,6 +126,17 @@ def label_dictionary(spark, labels: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(labels)), "label_idx long, label_name string")
 
 
+def label_dictionary_from(df: DataFrame, label_cols: list[str]) -> DataFrame:
+    """(label_idx, label_name, n_labelled) from a label table: the label
+    columns in file order, with how many rows carry a value for each (one
+    partial-aggregated pass, C output rows)."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("label_idx"), F.lit(c).alias("label_name"),
+                 qcol(c).isNotNull().cast("long").alias("has"))
+        for i, c in enumerate(label_cols)])))
+    return long.groupBy("label_idx", "label_name").agg(F.sum("has").alias("n_labelled"))
+
+
 def label_map(labels: list[str]) -> Column:
     """Inline name → id map for use in expressions."""
     return F.create_map(*[x for i, n in enumerate(labels) for x in (F.lit(n), F.lit(i))])

@@ -112,7 +112,7 @@ def sink_label_manifest(spark, d):
     merged = prep.join_labels(S.abstracts(spark, d), S.binary_labels(spark, d))
     names = prep.label_columns_by_position(merged.columns, 5)
     path = work_path(spark, "labels-manifest")
-    IO.write_label_manifest(spark, names, path)
+    IO.write_label_manifest(prep.label_dictionary_from(merged, names), path)
     return IO.read_label_manifest(spark, path)
 
 

@@ -93,14 +93,19 @@ def row_position(spark, d):
     return prep.with_position(_merged(spark, d).select("PMID"), ["PMID"])
 
 
-@proof("label_dictionary",
-       "SELECT CAST(i - 1 AS BIGINT) AS label_idx, name AS label_name "
-       "FROM (SELECT unnest(['quality', 'toxic']) AS name, "
-       "generate_subscripts(['quality', 'toxic'], 1) AS i) t")
+DICT_SQL = ("SELECT 0::BIGINT AS label_idx, 'quality' AS label_name, count(quality) AS n_labelled "
+            f"FROM ({S.MERGED_SQL}) m UNION ALL "
+            "SELECT 1::BIGINT, 'toxic', count(toxic) "
+            f"FROM ({S.MERGED_SQL}) m")
+
+
+@proof("label_dictionary", DICT_SQL)
 def label_dictionary(spark, d):
-    # the label names come from the label table's columns (sixth column on)
-    cols = prep.label_columns_by_position(_merged(spark, d).columns, 5)
-    return prep.label_dictionary(spark, cols)
+    # label names are the merged table's columns from the sixth on; the
+    # dictionary is built from the table's rows (with a per-label count)
+    merged = _merged(spark, d)
+    cols = prep.label_columns_by_position(merged.columns, 5)
+    return prep.label_dictionary_from(merged, cols)
 
 
 CANDIDATE_TERMS = ["worthless", "excellent", "nicht", "tion"]

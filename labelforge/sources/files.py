@@ -116,10 +116,12 @@ def metric_matrix(per_label: DataFrame, label_names: list[str]) -> DataFrame:
 
 
 # S13 ------------------------------------------------------------------------
-def write_label_manifest(spark: SparkSession, label_names: list[str], path: str) -> str:
-    """Label names one per line in vector order, one file (C lines)."""
-    df = spark.createDataFrame(list(enumerate(label_names)), "pos int, name string")
-    df.coalesce(1).sortWithinPartitions("pos").select("name").write.mode("overwrite").text(path)
+def write_label_manifest(dictionary: DataFrame, path: str) -> str:
+    """Label names one per line in vector order, one file. ``dictionary`` is
+    the C-row (label_idx, label_name) table, so one task writes C lines."""
+    (dictionary.select("label_idx", "label_name").coalesce(1)
+               .sortWithinPartitions("label_idx").select("label_name")
+               .write.mode("overwrite").text(path))
     return path
 
 
