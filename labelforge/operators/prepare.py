@@ -183,17 +183,26 @@ def build_labelled(abstracts: DataFrame, labels: DataFrame, spec: LabelSpec,
 
     One DataFrame with a ``split_name`` column; write it partitioned by it.
     With ``unique_key`` (one abstract and one label row per id, as in the
-    corpus files) the position is computed on the ids alone and joined back,
-    so the texts are not range-shuffled a second time.
+    corpus files) the position is computed on the ids alone and attached to
+    the narrow label rows before the join, so the texts move only once.
     """
-    merged = join_labels(abstracts, labels, key)
-    merged = with_label_vector(merged, spec.labels)
-    if with_index:
-        merged = (with_key_index(merged, key, INDEX_COL) if unique_key
-                  else with_position(merged, [key]))
+    lab = indexed_labels(abstracts, labels, key) if (with_index and unique_key) else labels
+    merged = with_label_vector(join_labels(abstracts, lab, key), spec.labels)
+    if with_index and unique_key:
+        merged = merged.select(*[c for c in merged.columns if c != INDEX_COL], INDEX_COL)
+    elif with_index:
+        merged = with_position(merged, [key])
     return split_filter(merged, split_col)
 
 
+def indexed_labels(abstracts: DataFrame, labels: DataFrame, key: str = "PMID") -> DataFrame:
+    """Label rows with the row position the merged table will give them
+    (position of the id among ids present on both sides, in id order). Only
+    ids are joined and range-shuffled here."""
+    ids = labels.select(key).join(abstracts.select(key), key)
+    return labels.join(with_row_index(ids, [key], INDEX_COL), key)
+
+
 def build_binary(abstracts: DataFrame, binary_labels: DataFrame, spec: LabelSpec,
                  key: str = "PMID", with_index: bool = True) -> DataFrame:
     return build_labelled(abstracts, binary_labels, spec, key, with_index=with_index)
@@ -242,24 +251,25 @@ def build_nli(binary: DataFrame, spec: LabelSpec, key: str = "PMID",
 
 def build_all(abstracts: DataFrame, binary_labels: DataFrame, soft_labels: DataFrame,
               spec: LabelSpec, out_dir: str, key: str = "PMID") -> dict[str, str]:
-    """X4: binary, soft and NLI datasets in order, each written split-partitioned.
+    """X4: binary, soft and NLI datasets, each split-partitioned.
 
-    The abstracts are read once: persisted (memory, spilling to disk) for the
-    two joins, recomputed from the files if an executor holding blocks is lost.
+    The texts are read and shuffled once: the binary and soft label rows (same
+    columns, each with its row position computed on ids only) are tagged and
+    unioned, joined with the abstracts in ONE join, and written partitioned by
+    (dataset, split) — no cache of the corpus. The NLI set is expanded from the
+    written binary set (lineage cut there).
     """
-    from pyspark import StorageLevel
-    abstracts = abstracts.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        paths = {name: f"{out_dir}/{name}_dataset" for name in ("binary", "soft", "nli")}
-        binary = build_binary(abstracts, binary_labels, spec, key)
-        binary.write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["binary"])
-        soft = build_soft(abstracts, soft_labels, spec, key)
-        soft.write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["soft"])
-        # the NLI set is expanded from the written binary set (lineage cut there)
-        written = binary.sparkSession.read.parquet(paths["binary"])
-        build_nli(written, spec, key).write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["nli"])
-    finally:
-        abstracts.unpersist()
+    labelled = f"{out_dir}/labelled"
+    paths = {"binary": f"{labelled}/dataset=binary", "soft": f"{labelled}/dataset=soft",
+             "nli": f"{out_dir}/nli_dataset"}
+    tagged = (indexed_labels(abstracts, binary_labels, key).withColumn("dataset", F.lit("binary"))
+              .unionByName(indexed_labels(abstracts, soft_labels, key).withColumn("dataset", F.lit("soft"))))
+    merged = with_label_vector(join_labels(abstracts, tagged, key), spec.labels)
+    merged = merged.select(*[c for c in merged.columns if c not in (INDEX_COL, "dataset")],
+                           INDEX_COL, "dataset")
+    split_filter(merged).write.mode("overwrite").partitionBy("dataset", SPLIT_NAME).parquet(labelled)
+    written = abstracts.sparkSession.read.parquet(paths["binary"])
+    build_nli(written, spec, key).write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["nli"])
     return paths
 
 
