@@ -5,6 +5,15 @@ a single task. Instead: range-partition on the order key (balanced by
 sampling), sort inside each partition, number rows locally, and add the count
 of all rows in earlier partitions. The per-partition counts table has one row
 per partition, so broadcasting it is bounded by the partition count.
+
+The partition a row lands in depends on range bounds sampled from the input,
+and an input coming out of a shuffle arrives in no fixed order, so two
+evaluations of the same range exchange may draw different bounds. The
+partition id and the local number are therefore materialised ONCE with a
+reliable ``checkpoint()`` into the session's shared checkpoint folder (it
+survives executor loss); the counts and the rows are both read from it. Index
+narrow tables (ids and sort keys) and join wide rows back on the id — see
+``with_key_index`` and the dataset builders.
 """
 
 from __future__ import annotations
@@ -12,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.session import shared_dir
+
 
 def _partition_count(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -19,6 +30,23 @@ def _partition_count(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _range_partitioned(df: DataFrame, order_cols: list, n: int, number_rows: bool) -> DataFrame:
+    """Range-partition, tag each row with its partition id (and its number
+    inside the sorted partition), and materialise that once."""
+    shared_dir(df.sparkSession)          # checkpoint() needs the folder set
+    ranged = df.repartitionByRange(n, *order_cols)
+    if number_rows:
+        ranged = (ranged.sortWithinPartitions(*order_cols)
+                        .withColumn("_lf_pid", F.spark_partition_id())
+                        # low 33 bits of the id = record number inside the partition
+                        .withColumn("_lf_local",
+                                    F.monotonically_increasing_id()
+                                    - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    else:
+        ranged = ranged.withColumn("_lf_pid", F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
+
+
 def with_row_index(df: DataFrame, order_cols: list[str | Column], name: str = "pos",
                    num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based position in the total order given by ``order_cols``.
@@ -27,16 +55,8 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], name: str = "p
     positions to be reproducible.
     """
     n = _partition_count(df, num_partitions)
-    ranged = df.repartitionByRange(n, *order_cols)
-    base = (ranged.sortWithinPartitions(*order_cols)
-                  .withColumn("_lf_pid", F.spark_partition_id())
-                  # low 33 bits of the id = record number inside the partition
-                  .withColumn("_lf_local",
-                              F.monotonically_increasing_id()
-                              - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    # counted straight off the range exchange (reused, not re-shuffled or sorted)
-    counts = (ranged.select(F.spark_partition_id().alias("_lf_pid"))
-                    .groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("_lf_n")))
+    base = _range_partitioned(df, order_cols, n, number_rows=True)
+    counts = base.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("_lf_n"))
     offsets = counts.select(
         "_lf_pid",
         (F.sum("_lf_n").over(Window.orderBy("_lf_pid")
@@ -69,11 +89,11 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
     rows are range-partitioned on (group, order), so a hot group is spread over
     several partitions; each (partition, group) segment is scanned locally, and
     the carry from the group's earlier segments (their maximum and last value)
-    comes from a summary table with one row per segment.
+    comes from a summary table with one row per segment. Pass only the
+    columns the scan needs: the partition tags are materialised once.
     """
     n = _partition_count(df, num_partitions)
-    ranged = (df.repartitionByRange(n, group, *order_cols)
-                .withColumn("_lf_pid", F.spark_partition_id()))
+    ranged = _range_partitioned(df, [group, *order_cols], n, number_rows=False)
     w = Window.partitionBy("_lf_pid", group).orderBy(*order_cols)
     local = (ranged
              .withColumn("_lf_lmax", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -34,6 +34,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     conf = dict(SESSION_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.ui.enabled"] = "false"
+    # checkpoints cut lineage for row positions; drop their files once the
+    # checkpointed data is no longer referenced
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     conf.update(extra)
     for k, v in conf.items():
         builder = builder.config(k, v)

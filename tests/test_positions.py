@@ -33,3 +33,18 @@ def test_running_max_with_a_hot_group(spark, parts):
     assert len(m) == len(rows)
     assert (m.best_so_far == m.best).all()
     assert ((m.prev_value == m.prev) | (m.prev_value.isna() & m.prev.isna())).all()
+
+
+def test_row_index_after_a_shuffle(spark):
+    # input arrives from shuffles in no fixed order: positions must still be dense and exact
+    left = spark.range(0, 4000).repartition(13).select(F.col("id").alias("k"))
+    right = spark.range(0, 4000).repartition(7).select(F.col("id").alias("k"), (F.col("id") % 5).alias("g"))
+    df = left.join(right.hint("merge"), "k").select("k", F.concat(F.lit("x"), F.col("k").cast("string")).alias("payload"))
+    out = with_row_index(df, ["k"], "pos", num_partitions=9)
+    got = sorted((r.k, r.pos) for r in out.collect())
+    assert got == [(k, k) for k in range(4000)]
+    scan = running_max_and_lag(df.select("k", (F.col("k") % 3).alias("g"), F.col("k").cast("double").alias("v")),
+                               "g", ["k"], "v", num_partitions=5)
+    rows = scan.collect()
+    assert all(r.best_so_far == r.v for r in rows)
+    assert all((r.prev_value is None) == (r.k < 3) for r in rows)
