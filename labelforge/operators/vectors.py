@@ -28,6 +28,13 @@ MAX_LABELS = 4096
 
 
 # Arrow path -------------------------------------------------------------------
+class _Inline:
+    """Stand-in for a broadcast variable: the value travels with the UDF."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 class LabelMatrix:
     """C label vectors (ids ascending) as a broadcast numpy matrix."""
 
@@ -42,8 +49,10 @@ class LabelMatrix:
         self.ids = np.array([r.i for r in rows], dtype=np.int64)
         w = np.array([r.v for r in rows], dtype=np.float64)
         b = np.array([r.b for r in rows], dtype=np.float64) if bias_col else np.zeros(len(rows))
-        sc = label_vectors.sparkSession.sparkContext
-        self._bc = sc.broadcast((self.ids, w, b))
+        try:
+            self._bc = label_vectors.sparkSession.sparkContext.broadcast((self.ids, w, b))
+        except Exception:  # remote session without a context: ship with the function
+            self._bc = _Inline((self.ids, w, b))
 
     def scores(self, vec: Column, kind: str = "cosine", eps: float = NORM_EPS) -> Column:
         """array<double> per row, label order: ``cosine``, ``linear`` (x·w + b)

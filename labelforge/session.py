@@ -57,7 +57,11 @@ def apply_defaults(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; set one only when none is set."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return (configured or tempfile.mkdtemp(prefix="labelforge-ckpt-")).rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
