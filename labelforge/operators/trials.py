@@ -128,8 +128,11 @@ def best_trial(results: DataFrame, group: str = "model", score: str = "objective
 # W4 / W5 --------------------------------------------------------------------
 def trial_progress(results: DataFrame, order: list[str] = ("timestamp", "event_id"),
                    score: str = "objective") -> DataFrame:
-    """Best score so far and change since the previous evaluation, per trial."""
-    out = running_max_and_lag(results, "trial_id", list(order), score, "best_so_far", "_lf_prev")
+    """Best score so far and change since the previous evaluation, per trial:
+    (trial_id, *order, score, best_so_far, delta). Only these columns go
+    through the scan; join other columns back on (trial_id, *order)."""
+    narrow = results.select("trial_id", *order, score)
+    out = running_max_and_lag(narrow, "trial_id", list(order), score, "best_so_far", "_lf_prev")
     return out.withColumn("delta", F.col(score) - F.col("_lf_prev")).drop("_lf_prev")
 
 
