@@ -75,7 +75,9 @@ class LabelMatrix:
                 out = cos if kind == "cosine" else (raw + b) * cos
             return pd.Series(list(out))
 
-        return score(vec)
+        # declared nondeterministic so the optimizer never copies the call into
+        # a pushed-down or inferred filter (that would run the batch twice)
+        return score.asNondeterministic()(vec)
 
     def label_ids(self) -> Column:
         return F.array(*[F.lit(int(i)).cast("long") for i in self.ids])
