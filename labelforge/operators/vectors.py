@@ -166,7 +166,9 @@ def cosine_label_matrix(df: DataFrame, key: str, vec_col: str,
     scored = attach_labels(df, label_vectors).select(key, F.arrays_zip(
         F.transform(labels, lambda lab: lab["label_idx"]).alias("label_idx"),
         cosine_scores(F.col(vec_col), labels).alias("cosine")).alias("z"))
-    return scored.select(key, F.inline("z"))
+    # outer: a plain inline would get an inferred "size(...) > 0" filter that
+    # runs the whole scoring a second time
+    return scored.select(key, F.inline_outer("z"))
 
 
 # V3 -------------------------------------------------------------------------

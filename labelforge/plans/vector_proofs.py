@@ -100,7 +100,7 @@ def label_attended_scores_sql(spark, d):
     out = emb.select("vec_id", F.arrays_zip(
         F.transform(w, lambda x: x["label_idx"]).alias("label_idx"),
         V.label_attended_scores(F.col("embedding"), w).alias("score")).alias("z"))
-    return out.select("vec_id", F.inline("z")).select(
+    return out.select("vec_id", F.inline_outer("z")).select(
         "vec_id", "label_idx", F.round("score", 6).alias("score"))
 
 
