@@ -30,7 +30,8 @@ def evaluate(scores: DataFrame, label_names: list[str], save_dir: str, key: str
     out = {"metrics": f"{save_dir}/metrics.json", "predictions": f"{save_dir}/predict_results.txt"}
     if M.is_multi_label(scores):
         counts = M.confusion_counts(M.with_predictions(scores, "logits", threshold), len(label_names))
-        IO.write_metrics_json(M.summary(counts).withColumn("eval_samples", F.lit(None).cast("long")), out["metrics"])
+        samples = scores.agg(F.count(F.lit(1)).alias("n")).scalar()
+        IO.write_metrics_json(M.summary(counts).withColumn("eval_samples", samples), out["metrics"])
         out["per_label"] = f"{save_dir}/predict_metrics.csv"
         IO.write_csv(IO.metric_matrix(M.per_label(counts), label_names), out["per_label"])
         text = python_list_text(decode_multi_hot(threshold_scores(F.col("logits"), threshold), label_names))

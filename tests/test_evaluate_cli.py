@@ -11,7 +11,7 @@ def test_evaluate_multi_label_files(spark):
     df = spark.createDataFrame(rows, "row_id long, logits array<double>, label array<double>")
     out = evaluate(df, ["A", "B"], tempfile.mkdtemp(prefix="lf-eval-"))
     m = spark.read.json(out["metrics"]).first()
-    assert abs(m.f1_micro - 2 * 3 / (2 * 3 + 1 + 0)) < 1e-12
+    assert abs(m.f1_micro - 2 * 3 / (2 * 3 + 1 + 0)) < 1e-12 and m.eval_samples == 3
     schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("A", T.DoubleType()),
                            T.StructField("B", T.DoubleType())])
     mat = {r.metric: r for r in IO.read_csv_table(spark, out["per_label"], schema).collect()}
