@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from labelforge.functions.text import token_set
 from labelforge.operators import metrics as M
 from labelforge.operators.models import nli_collapse, zero_shot_scores
-from labelforge.operators.prepare import SPLIT_NAME
+
 from labelforge.sources import files as IO
 
 
