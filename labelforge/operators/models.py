@@ -144,7 +144,8 @@ def draw_trials(space: SearchSpace, n_trials: int, seed: int = 42) -> list[dict]
 
 
 def param_search(train: DataFrame, valid: DataFrame, text_col: str, label_col: str,
-                 trials: list[dict], mode: str = "max", num_features: int = 1 << 16) -> DataFrame:
+                 trials: list[dict], mode: str = "max", num_features: int = 1 << 16,
+                 parallelism: int = 2) -> DataFrame:
     """One distributed fit per trial on the shared features, scored on the
     validation rows (area under ROC); returns one row per trial and marks the
     best by ``mode``."""
@@ -157,11 +158,20 @@ def param_search(train: DataFrame, valid: DataFrame, text_col: str, label_col: s
              lr.maxIter: t["maxIter"]} for t in trials]
     ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
     rows = []
+
+    def fit_one(fits):
+        idx, model = next(fits)
+        t = trials[idx]
+        return (t["trial"], float(t["regParam"]), float(t["elasticNetParam"]), int(t["maxIter"]),
+                float(ev.evaluate(model.transform(fvalid))))
+
+    from multiprocessing.pool import ThreadPool
     try:
-        for idx, model in lr.fitMultiple(ftrain, maps):
-            t = trials[idx]
-            rows.append((t["trial"], float(t["regParam"]), float(t["elasticNetParam"]), int(t["maxIter"]),
-                         float(ev.evaluate(model.transform(fvalid)))))
+        # trials are independent distributed fits: submit up to `parallelism`
+        # of them at once, like the tuning estimators do
+        fits = lr.fitMultiple(ftrain, maps)
+        with ThreadPool(max(1, min(parallelism, len(maps)))) as pool:
+            rows = list(pool.imap_unordered(lambda _: fit_one(fits), range(len(maps))))
     finally:
         ftrain.unpersist()
     spark = train.sparkSession
