@@ -238,6 +238,8 @@ def build_nli(binary: DataFrame, spec: LabelSpec, key: str = "PMID",
     value)`` for the negative one. The label value is picked from the packed
     vector by index, so no per-label column lookup is needed.
     """
+    if not spec.hypotheses:
+        raise ValueError("the label set has no hypothesis sentences to pair with")
     keep = keep if keep is not None else [c for c in ("Title", "Abstract", SPLIT_NAME)
                                           if c in binary.columns]
     expanded = binary.select(key, *keep, "label",
@@ -268,6 +270,9 @@ def build_all(abstracts: DataFrame, binary_labels: DataFrame, soft_labels: DataF
     merged = merged.select(*[c for c in merged.columns if c not in (INDEX_COL, "dataset")],
                            INDEX_COL, "dataset")
     split_filter(merged).write.mode("overwrite").partitionBy("dataset", SPLIT_NAME).parquet(labelled)
+    if not spec.hypotheses:          # a label set without hypothesis sentences has no NLI form
+        del paths["nli"]
+        return paths
     written = abstracts.sparkSession.read.parquet(paths["binary"])
     build_nli(written, spec, key).write.mode("overwrite").partitionBy(SPLIT_NAME).parquet(paths["nli"])
     return paths

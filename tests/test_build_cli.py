@@ -32,3 +32,18 @@ def test_build_from_csv_end_to_end(spark):
     assert nli.count() == 14 * 2
     names = [r.value for r in spark.read.text(paths["labels"]).collect()]
     assert names == CORPUS_LABELS
+
+
+def test_custom_label_set_has_no_nli(spark):
+    import pytest
+    from labelforge.operators.prepare import build_nli
+    from labelforge.schemas import LabelSpec
+    d = tempfile.mkdtemp(prefix="lf-build2-")
+    with open(os.path.join(d, "a.csv"), "w") as fh:
+        fh.write("PMID,Title,Abstract\n1,T1,first\n2,T2,second\n")
+    with open(os.path.join(d, "b.csv"), "w") as fh:
+        fh.write("PMID,Split,Number of Annotators,Aggregate,Has Human Subjects\n1,Train,2,1,0\n2,Test,1,0,1\n")
+    paths = build_from_csv(spark, f"{d}/a.csv", f"{d}/b.csv", f"{d}/b.csv", f"{d}/out")
+    assert "nli" not in paths and spark.read.parquet(paths["binary"]).count() == 2
+    with pytest.raises(ValueError):
+        build_nli(spark.read.parquet(paths["binary"]), LabelSpec(labels=["Aggregate", "Has Human Subjects"]))
