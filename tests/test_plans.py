@@ -51,3 +51,16 @@ def test_trial_choice_is_partial_aggregation(spark):
     p = _plan(E.queries()["best_trial"](spark, SF001))
     assert "partial_max" in p                              # combined map-side before the shuffle
     assert "Window" not in p
+
+
+def test_running_window_never_partitions_by_trial_alone(spark):
+    p = _plan(E.queries()["trial_progress"](spark, SF001))
+    specs = re.findall(r"windowspecdefinition\(([^)]*)\)", p)
+    row_level = [s for s in specs if "timestamp" in s]        # windows over the trial rows themselves
+    assert row_level and all("_lf_pid" in s for s in row_level)
+
+
+def test_positions_read_materialised_partition_tags(spark):
+    p = _plan(E.queries()["row_position"](spark, SF001))
+    assert "Exchange SinglePartition" not in p.split("BroadcastExchange")[0]   # rows never meet in one task
+    assert "Scan ExistingRDD" in p or "LogicalRDD" in p or "RDDScan" in p      # read from the checkpoint
