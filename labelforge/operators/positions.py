@@ -79,9 +79,51 @@ def with_key_index(df: DataFrame, key: str, name: str = "pos",
     return df.join(idx, key)
 
 
+def _range_partitioned_sorted(df: DataFrame, order_cols: list, n: int) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_lf_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+
+
+def _scan_schema(schema, value: str):
+    from pyspark.sql import types as T
+    vt = schema[value].dataType
+    return T.StructType(list(schema.fields) + [T.StructField("_lf_lmax", vt), T.StructField("_lf_lprev", vt),
+                                               T.StructField("_lf_first", T.BooleanType())])
+
+
+def _local_scan(group: str, value: str):
+    """Running max / previous value per group over a partition's sorted rows,
+    batch by batch (vectorised per batch, carry between batches)."""
+    def scan(batches):
+        import numpy as np
+        import pandas as pd
+        carry_g, carry_max, carry_last = None, np.nan, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            g, v = pdf[group], pdf[value].astype("float64")
+            cont = (g == carry_g).to_numpy() if carry_g is not None else np.zeros(len(pdf), bool)
+            cm = v.fillna(-np.inf).groupby(g, sort=False).cummax().to_numpy()
+            if cont.any() and not np.isnan(carry_max):
+                cm[cont] = np.maximum(cm[cont], carry_max)
+            cm = np.where(np.isneginf(cm), np.nan, cm)
+            prev = pdf[value].groupby(g, sort=False).shift(1).astype(object)
+            first = (~g.duplicated()).to_numpy()
+            if cont.any():
+                first = first & ~cont
+                prev.iloc[0] = carry_last
+            out = pdf.assign(_lf_lmax=cm, _lf_lprev=prev.where(pd.notna(prev), None), _lf_first=first)
+            carry_g, carry_last = g.iloc[-1], pdf[value].iloc[-1]
+            carry_max = cm[-1]
+            yield out
+    return scan
+
+
 def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value: str,
                         best: str = "best_so_far", prev: str = "prev_value",
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, method: str = "window") -> DataFrame:
     """Per group in ``order_cols`` order: the running maximum of ``value`` and
     the previous row's ``value``.
 
@@ -93,12 +135,18 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
     columns the scan needs: the partition tags are materialised once.
     """
     n = _partition_count(df, num_partitions)
-    ranged = _range_partitioned(df, [group, *order_cols], n, number_rows=False)
-    w = Window.partitionBy("_lf_pid", group).orderBy(*order_cols)
-    local = (ranged
-             .withColumn("_lf_lmax", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("_lf_lprev", F.lag(value).over(w))
-             .withColumn("_lf_first", F.row_number().over(w) == 1))
+    if method == "arrow":
+        # sorted partitions scanned in place: no second shuffle for the local pass
+        ranged = _range_partitioned_sorted(df, [group, *order_cols], n)
+        local = ranged.mapInPandas(_local_scan(group, value),
+                                   _scan_schema(ranged.schema, value))
+    else:
+        ranged = _range_partitioned(df, [group, *order_cols], n, number_rows=False)
+        w = Window.partitionBy("_lf_pid", group).orderBy(*order_cols)
+        local = (ranged
+                 .withColumn("_lf_lmax", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                 .withColumn("_lf_lprev", F.lag(value).over(w))
+                 .withColumn("_lf_first", F.row_number().over(w) == 1))
     seg = ranged.groupBy("_lf_pid", group).agg(
         F.max(value).alias("_lf_smax"),
         F.max_by(value, F.struct(*order_cols)).alias("_lf_slast"))
@@ -107,7 +155,15 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
         "_lf_pid", group,
         F.max("_lf_smax").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_lf_cmax"),
         F.lag("_lf_slast").over(ws).alias("_lf_clast"))
-    out = local.join(carry, ["_lf_pid", group])
+    if method == "arrow":
+        # only the first group of a partition can continue from earlier
+        # partitions: the carry table has at most one row per partition, so
+        # it is broadcast and the scanned rows stay where they are
+        first = seg.groupBy("_lf_pid").agg(F.min(group).alias(group))
+        carry = F.broadcast(carry.join(first, ["_lf_pid", group]))
+        out = local.join(carry, ["_lf_pid", group], "left")
+    else:
+        out = local.join(carry, ["_lf_pid", group])
     return (out.withColumn(best, F.greatest("_lf_lmax", "_lf_cmax"))
                .withColumn(prev, F.when(F.col("_lf_first"), F.col("_lf_clast"))
                                   .otherwise(F.col("_lf_lprev")))

@@ -132,7 +132,8 @@ def trial_progress(results: DataFrame, order: list[str] = ("timestamp", "event_i
     (trial_id, *order, score, best_so_far, delta). Only these columns go
     through the scan; join other columns back on (trial_id, *order)."""
     narrow = results.select("trial_id", *order, score)
-    out = running_max_and_lag(narrow, "trial_id", list(order), score, "best_so_far", "_lf_prev")
+    out = running_max_and_lag(narrow, "trial_id", list(order), score, "best_so_far", "_lf_prev",
+                              method="arrow")
     return out.withColumn("delta", F.col(score) - F.col("_lf_prev")).drop("_lf_prev")
 
 

@@ -19,13 +19,14 @@ def test_batches_are_consecutive(spark):
     assert {r.k: r.batch_id for r in out} == {k: k // 5 for k in range(23)}
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_running_max_with_a_hot_group(spark, parts):
+@pytest.mark.parametrize("parts,method", [(1, "window"), (3, "window"), (16, "window"),
+                                          (1, "arrow"), (3, "arrow"), (16, "arrow")])
+def test_running_max_with_a_hot_group(spark, parts, method):
     # group "hot" holds most rows, so it spans several range partitions
     rows = [("hot", t, float((t * 37) % 101)) for t in range(600)]
     rows += [(f"g{i}", t, float((t * 13 + i) % 17)) for i in range(5) for t in range(20)]
     df = spark.createDataFrame(rows, "g string, t long, v double")
-    out = running_max_and_lag(df, "g", ["t"], "v", num_partitions=parts).toPandas()
+    out = running_max_and_lag(df, "g", ["t"], "v", num_partitions=parts, method=method).toPandas()
     pdf = pd.DataFrame(rows, columns=["g", "t", "v"]).sort_values(["g", "t"])
     pdf["best"] = pdf.groupby("g")["v"].cummax()
     pdf["prev"] = pdf.groupby("g")["v"].shift()
