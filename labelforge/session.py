@@ -1,12 +1,14 @@
 """Session set-up and shared storage locations.
 
 Work files (round trips, written tables that cut lineage, stream checkpoints) go
-under the shared folder the cluster names in ``spark.checkpoint.dir``. We only
-pick a folder of our own when the session has none (local tests).
+under the shared folder the cluster names in ``spark.checkpoint.dir``. A folder
+of our own is picked only for a local master, where driver and executors are
+one process; a cluster session without the setting is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +23,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # log trees have one directory per trial: list up to 10k directories per
-    # level on the driver instead of launching a one-task-per-directory
-    # listing job for each level (beyond that, the distributed listing wins)
-    "spark.sql.sources.parallelPartitionDiscovery.threshold": "10000",
 }
 
 
@@ -55,18 +53,28 @@ def apply_defaults(spark: SparkSession) -> None:
             pass
 
 
+class SharedFolderError(RuntimeError):
+    """The session names no folder that driver and executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; set one only when none is set."""
+    """The folder of ``spark.checkpoint.dir``. Unset: a fresh temporary folder
+    for a local master, an error for a cluster or a remote session."""
+    missing = SharedFolderError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session: the server owns the folder
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        return (configured or tempfile.mkdtemp(prefix="labelforge-ckpt-")).rstrip("/")
+        if not configured:
+            raise missing from None
+        return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise missing
         configured = tempfile.mkdtemp(prefix="labelforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")
