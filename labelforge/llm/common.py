@@ -80,3 +80,24 @@ def batches_of(it: Iterator, max_bytes: int, size_of) -> Iterator[list]:
             held, total = [], 0
     if held:
         yield held
+
+
+def map_batches(df: DataFrame, rows, schema) -> DataFrame:
+    """``mapInArrow`` over plain Python columns, so that null ids stay null.
+
+    ``rows`` gets an iterator of lists of tuples (one list an Arrow batch) and
+    yields lists of tuples of ``schema``.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        given = (list(zip(*(c.to_pylist() for c in b.columns))) for b in batches)
+        for made in rows(given):
+            if made:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+
+    return df.mapInArrow(run, schema)
