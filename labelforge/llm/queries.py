@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix
+from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, warc_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,20 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_license_scan")
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, ((j // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (j % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN g USING (t)"""
+
+
+@query("op2_warc_store", OP2_SQL)
+def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc_store.write_archives(table(spark, sf_dir, "pages"))
+    return warc_store.read_archives(manifest, folder).drop("url", "payload")
