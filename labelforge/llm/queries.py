@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, warc_store
+from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, url_filter, warc_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,40 @@ FROM p JOIN g USING (t)"""
 def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc_store.write_archives(table(spark, sf_dir, "pages"))
     return warc_store.read_archives(manifest, folder).drop("url", "payload")
+
+
+def _op1_sql(rounds: int = 20, damping: float = 0.85) -> str:
+    """The same rules and walks; each round of the walk is one step of the CTE chain."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
+
+    def fits(rule: str) -> str:
+        name, _, start = rule.partition("/")
+        return f"((host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}'))"
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in rules)
+    said = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)
+    chain = "".join(f""",
+r{i} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT * FROM r0 UNION ALL
+  SELECT s."to", {damping} * sum(trust * t), {damping} * sum(distrust * d) FROM r{i - 1} r JOIN steps s USING (host) GROUP BY 1) GROUP BY host)"""
+                    for i in range(1, rounds + 1))
+    return rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS x FROM pages),
+h AS (SELECT page_id, html, coalesce(translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(x, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+p AS (SELECT *, CASE {rule} END AS rule FROM h),
+q AS MATERIALIZED (SELECT page_id, host, path, rule, CASE rule {said} END AS said FROM p),
+l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''),
+  '(?i)<a\s[^>]*?\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>\\]+)', 1), lambda y: y))) AS dst FROM h WHERE host <> ''),
+e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM l)
+  WHERE src <> dst GROUP BY ALL),
+steps AS MATERIALIZED (SELECT src AS host, dst AS "to", weight / sum(weight) OVER (PARTITION BY src) AS t, 0.0::DOUBLE AS d FROM e UNION ALL
+  SELECT dst, src, 0.0::DOUBLE, weight / sum(weight) OVER (PARTITION BY dst) FROM e),
+r0 AS MATERIALIZED (SELECT host, {1 - damping} * avg((said = 'allow')::INT) AS trust, {1 - damping} * avg((said = 'block')::INT) AS distrust
+  FROM q WHERE said IS NOT NULL GROUP BY host){chain}
+SELECT page_id, q.host, path, rule, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust,
+  coalesce(said, CASE WHEN round(coalesce(distrust, 0), 9) > round(coalesce(trust, 0), 9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN r{rounds} r ON q.host = r.host"""
+
+
+@query("op1_url_filter", _op1_sql())
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
