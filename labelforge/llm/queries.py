@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, url_filter, warc_store
+from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, toxicity, url_filter, warc_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ FROM q LEFT JOIN r{rounds} r ON q.host = r.host"""
 @query("op1_url_filter", _op1_sql())
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
