@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import license_scan, quality_rules, secret_scan, source_mix, toxicity, url_filter, warc_store
+from labelforge.llm import decontaminate, license_scan, quality_rules, secret_scan, source_mix, toxicity, url_filter, warc_store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
