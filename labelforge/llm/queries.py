@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelforge.llm import decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, source_mix, toxicity, url_filter, warc_store
+from labelforge.llm import (
+    decontaminate,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    toxicity,
+    url_filter,
+    warc_store,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +190,8 @@ JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc
 @query("op3_jaccard_join", OP3_SQL)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
