@@ -57,8 +57,15 @@ def decode_class(idx: Column, names: list[str]) -> Column:
 
 
 def python_list_text(names: Column) -> Column:
-    """Render a string array the way a Python list prints: ``['a', 'b']``."""
-    quoted = F.transform(names, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+    """Render a string array the way a Python list prints: ``['a', 'b']``; a
+    name with an apostrophe is put in double quotes, with both in single quotes
+    with the apostrophe escaped."""
+    def shown(x: Column) -> Column:
+        x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        one, two = F.contains(x, F.lit("'")), F.contains(x, F.lit('"'))
+        return (F.when(one & ~two, F.concat(F.lit('"'), x, F.lit('"')))
+                .otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+    quoted = F.transform(names, shown)
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 

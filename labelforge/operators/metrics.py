@@ -115,6 +115,16 @@ def entailment_metrics(df: DataFrame, logits_col: str = "logits",
 
 
 # M7 -------------------------------------------------------------------------
+def common_width(df: DataFrame, column: str) -> int:
+    """The width that all non-null arrays of a column have (0 without rows);
+    arrays of different widths are an error, never cut to one of them."""
+    w = F.when(F.col(column).isNotNull(), F.size(column))
+    low, high = df.agg(F.min(w), F.max(w)).first()
+    if low != high:
+        raise ValueError(f"column {column!r} holds arrays of {low} to {high} elements")
+    return int(low or 0)
+
+
 def is_multi_label(df: DataFrame, label_col: str = "label") -> bool:
     return isinstance(df.schema[label_col].dataType, T.ArrayType)
 
@@ -128,8 +138,7 @@ def metric_by_name(df: DataFrame, name: str, score_col: str = "logits",
     Returns one row (metric, problem_type, value).
     """
     if is_multi_label(df, label_col):
-        n = df.select(F.size(label_col).alias("n")).first()
-        n_labels = int(n["n"]) if n is not None else 0
+        n_labels = common_width(df, label_col)
         if name not in ("f1", "precision", "recall"):
             raise ValueError(f"metric {name!r} has no multi-label form")
         vals = multi_label_metrics(df, n_labels, score_col, label_col)
@@ -187,36 +196,61 @@ def loss_mse(df: DataFrame, pred_col: str = "logits", label_col: str = "label")
     return df.agg((F.sum(sq) / F.sum(F.size(pred_col))).alias("loss"))
 
 
+def problem_type(df: DataFrame, logits_col: str = "logits", label_col: str = "label") -> str:
+    """``regression`` for one score a row (a number or arrays of width 1), else
+    single- or multi-label by the type of the label: whole numbers name a
+    class, arrays of numbers are one target per label."""
+    kind, label = df.schema[logits_col].dataType, df.schema[label_col].dataType
+    if not isinstance(kind, T.ArrayType) or common_width(df, logits_col) == 1:
+        return "regression"
+    if isinstance(label, T.ArrayType):
+        return "multi_label_classification"
+    if isinstance(label, T.IntegralType):
+        return "single_label_classification"
+    raise ValueError(f"labels of type {label.simpleString()} fit no problem type of {kind.simpleString()} scores")
+
+
+def loss(df: DataFrame, logits_col: str = "logits", label_col: str = "label", kind: str | None = None) -> DataFrame:
+    """The loss of the problem type: squared error, cross-entropy or binary cross-entropy."""
+    kind = kind or problem_type(df, logits_col, label_col)
+    if kind == "regression":
+        as_array = {c: F.array(F.col(c)) for c in (logits_col, label_col) if not isinstance(df.schema[c].dataType, T.ArrayType)}
+        return loss_mse(df.withColumns(as_array), logits_col, label_col)
+    if kind == "single_label_classification":
+        return loss_ce(df, logits_col, label_col)
+    if kind == "multi_label_classification":
+        return loss_bce(df, logits_col, label_col)
+    raise ValueError(f"unknown problem type {kind!r}")
+
+
 # M10 ------------------------------------------------------------------------
 def threshold_sweep(df: DataFrame, n_labels: int, score_col: str = "logits",
-                    label_col: str = "label", digits: int = 3) -> DataFrame:
-    """Best cut per label: predict positive when score > t, t over the distinct
-    scores rounded to ``digits``; highest F1 wins, then the lowest cut.
-
-    Rows are first reduced to (label, rounded score) → positives/negatives (a
-    partial aggregation whose size is bounded by the number of distinct
-    rounded scores), then cumulative sums per label run over that small table.
+                    label_col: str = "label") -> DataFrame:
+    """Best cut per label: predict positive when score > t. Every distinct score
+    is tried, and the cut below the lowest (-Infinity: all positive); the
+    highest F1 wins, then the lowest cut. Missing scores are never positive but
+    their positives count as missed.
+
+    Rows are first reduced to (label, score) → positives/negatives (partial
+    aggregation); the counts above a cut are running sums over range
+    partitions, so a label's scores are never gathered in one task.
     """
-    from pyspark.sql import Window
+    from labelforge.operators.positions import running_sums
 
     pairs = df.select(F.inline(F.arrays_zip(
         F.sequence(F.lit(0), F.lit(n_labels - 1)).alias("label_idx"),
         F.col(score_col).alias("s"), F.col(label_col).alias("y"))))
-    hist = (pairs.filter(F.col("s").isNotNull() & ~F.isnan("s"))
-                 .groupBy("label_idx", F.round("s", digits).alias("t"))
+    score = F.when(~F.isnan("s"), F.col("s").cast("double"))
+    hist = (pairs.withColumn("t", score).groupBy("label_idx", "t")
                  .agg(F.sum(_positive(F.col("y")).cast("long")).alias("pos"),
                       F.sum((~_positive(F.col("y"))).cast("long")).alias("neg")))
-    above = Window.partitionBy("label_idx").orderBy(F.desc("t")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    total = Window.partitionBy("label_idx")
-    cum = hist.select(
-        "label_idx", "t",
-        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp"),
-        F.sum("pos").over(total).alias("p_all"))
-    f1 = _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p_all"))
-    scored = cum.withColumn("f1", f1)
-    best = scored.groupBy("label_idx").agg(
+    known = hist.filter(F.col("t").isNotNull())
+    below = known.select("label_idx").distinct().select(
+        "label_idx", F.lit(float("-inf")).alias("t"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    cum = running_sums(known.unionByName(below), "label_idx", -F.col("t"), ["pos", "neg"])
+    all_pos = hist.groupBy("label_idx").agg(F.sum("pos").alias("p_all"))
+    f1 = _ratio(2 * F.col("before_pos"), F.col("before_pos") + F.col("before_neg") + F.col("p_all"))
+    best = cum.join(all_pos, "label_idx").withColumn("f1", f1).groupBy("label_idx").agg(
         F.max(F.struct("f1", (-F.col("t")).alias("neg_t"))).alias("b"))
     return best.select("label_idx", (-F.col("b.neg_t")).alias("best_threshold"),
                        F.col("b.f1").alias("best_f1"))

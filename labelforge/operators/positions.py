@@ -13,7 +13,7 @@ partition id and the local number are therefore materialised ONCE with a
 reliable ``checkpoint()`` into the session's shared checkpoint folder (it
 survives executor loss); the counts and the rows are both read from it. Index
 narrow tables (ids and sort keys) and join wide rows back on the id — see
-``with_key_index`` and the dataset builders.
+the dataset builders.
 """
 
 from __future__ import annotations
@@ -23,11 +23,24 @@ from pyspark.sql import functions as F
 
 from labelforge.session import shared_dir
 
+PARTITION_BYTES, MAX_PARTITIONS = 128 << 20, 20_000
+
 
 def _partition_count(df: DataFrame, num_partitions: int | None) -> int:
+    """An explicit range exchange is not widened by adaptive execution, so the
+    number follows the input: one partition per ``PARTITION_BYTES`` of the
+    tables read, at least the session's shuffle partitions."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        # a leaf that came out of a checkpoint knows no size and reports the largest number there is
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    except Exception:               # a remote session has no plan to ask
+        return least
+    size = sum(s for s in sizes if s < 1 << 60)
+    return max(least, min(size // PARTITION_BYTES, MAX_PARTITIONS))
 
 
 def _range_partitioned(df: DataFrame, order_cols: list, n: int, number_rows: bool) -> DataFrame:
@@ -67,18 +80,6 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], name: str = "p
                 .drop("_lf_pid", "_lf_local", "_lf_offset"))
 
 
-def with_key_index(df: DataFrame, key: str, name: str = "pos",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Position in ``key`` order for a table whose key is unique.
-
-    Only the keys are range-shuffled; the positions are joined back on the
-    key. When the table is already hash-partitioned on the key (e.g. it is the
-    output of a sort-merge join on it), the wide rows do not move again.
-    """
-    idx = with_row_index(df.select(key), [key], name, num_partitions)
-    return df.join(idx, key)
-
-
 def _range_partitioned_sorted(df: DataFrame, order_cols: list, n: int) -> DataFrame:
     shared_dir(df.sparkSession)
     return (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
@@ -132,9 +133,12 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
     several partitions; each (partition, group) segment is scanned locally, and
     the carry from the group's earlier segments (their maximum and last value)
     comes from a summary table with one row per segment. Pass only the
-    columns the scan needs: the partition tags are materialised once.
+    columns the scan needs: the partition tags are materialised once. A NaN
+    value is a missing one, in both methods and on any partitioning.
     """
     n = _partition_count(df, num_partitions)
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        df = df.withColumn(value, F.when(~F.isnan(value), F.col(value)))
     if method == "arrow":
         # sorted partitions scanned in place: no second shuffle for the local pass
         ranged = _range_partitioned_sorted(df, [group, *order_cols], n)
@@ -170,6 +174,24 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
                .drop("_lf_pid", "_lf_lmax", "_lf_lprev", "_lf_first", "_lf_cmax", "_lf_clast"))
 
 
+def running_sums(df: DataFrame, group: str, order: Column, sums: list[str],
+                 num_partitions: int | None = None) -> DataFrame:
+    """Per group in ``order``: the sum of each column over all earlier rows, as
+    ``before_<column>``. A group is spread over range partitions; each segment
+    is summed locally and gets the total of the group's earlier segments (a
+    table with one row per segment)."""
+    n = _partition_count(df, num_partitions)
+    ranged = _range_partitioned(df.withColumn("_lf_order", order), [group, "_lf_order"], n, number_rows=False)
+    local = Window.partitionBy("_lf_pid", group).orderBy("_lf_order").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(group).orderBy("_lf_pid").rowsBetween(Window.unboundedPreceding, -1)
+    segments = ranged.groupBy("_lf_pid", group).agg(*[F.sum(c).alias(f"_lf_{c}") for c in sums])
+    carry = segments.select("_lf_pid", group, *[F.coalesce(F.sum(f"_lf_{c}").over(earlier), F.lit(0)).alias(f"_lf_{c}") for c in sums])
+    return (ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"before_{c}") for c in sums])
+            .join(carry, ["_lf_pid", group])
+            .withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_lf_{c}") for c in sums})
+            .drop("_lf_pid", "_lf_order", *[f"_lf_{c}" for c in sums]))
+
+
 def with_batch_id(df: DataFrame, order_cols: list[str | Column], batch_size: int,
                   pos: str = "pos", batch: str = "batch_id") -> DataFrame:
     """Fixed-size batches of consecutive rows in key order: ``floor(pos / n)``."""

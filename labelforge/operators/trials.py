@@ -111,12 +111,21 @@ def objective(metrics: list[str] = TRIAL_METRICS) -> Column:
     return sum((F.col(m) for m in metrics[1:]), F.col(metrics[0]))
 
 
+def missing_to_null(c: Column, kind: T.DataType) -> Column:
+    """NaN is a missing score, like null."""
+    return F.when(~F.isnan(c), c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+
+
 # O1 / T2 --------------------------------------------------------------------
 def best_trial(results: DataFrame, group: str = "model", score: str = "objective",
                keep: list[str] | None = None, mode: str = "max") -> DataFrame:
     """Best row per group: highest (or lowest) score, ties to the newest
-    timestamp, then the larger trial id; a null score never wins."""
+    timestamp, then the larger trial id; a missing score (null or NaN) never
+    wins over a number and comes out as null."""
+    if mode not in ("max", "min"):
+        raise ValueError("mode must be 'max' or 'min'")
     keep = keep or [c for c in results.columns if c not in (group, score)]
+    results = results.withColumn(score, missing_to_null(F.col(score), results.schema[score].dataType))
     s = F.col(score) if mode == "max" else -F.col(score)
     key = F.struct(s.isNotNull().alias("_k0"), s.alias("_k1"), F.col("timestamp").alias("_k2"),
                    F.col("trial_id").alias("_k3"))
@@ -179,15 +188,15 @@ REPORT_PARAMS = {"config.per_device_train_batch_size": "batch_size",
 REPORT_METRICS = {
     "multi_label_classification": {
         "eval_loss": "loss", "eval_f1_micro": "f1_micro", "eval_f1_macro": "f1_macro",
-        "eval_prec_micro": "precision_micro", "eval_precision_macro": "precision_macro",
-        "eval_rec_micro": "recall_micro", "eval_recall_macro": "recall_macro"},
+        "eval_precision_micro": "precision_micro", "eval_precision_macro": "precision_macro",
+        "eval_recall_micro": "recall_micro", "eval_recall_macro": "recall_macro"},
     "single_label_classification": {"eval_loss": "loss", "eval_accuracy": "accuracy"},
 }
 
 
 def trial_report(results: DataFrame, problem_type: str) -> DataFrame:
-    """Parameter and metric columns renamed for a report; names the logs do
-    not hold are left out rather than failing."""
+    """Parameter and metric columns renamed for a report. Every report of a
+    problem type has the same columns; what the logs do not hold is null."""
     def has(path: str) -> bool:
         head, _, tail = path.partition(".")
         if head not in results.columns:
@@ -199,4 +208,5 @@ def trial_report(results: DataFrame, problem_type: str) -> DataFrame:
 
     wanted = {"trial_id": "trial_id", "training_iteration": "training_iteration",
               **REPORT_PARAMS, **REPORT_METRICS[problem_type]}
-    return results.select(*[F.col(src).alias(dst) for src, dst in wanted.items() if has(src)])
+    return results.select(*[(F.col(src) if has(src) else F.lit(None).cast("double")).alias(dst)
+                            for src, dst in wanted.items()])

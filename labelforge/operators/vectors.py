@@ -3,14 +3,19 @@
 The label side (C label vectors) is a few rows; no N×C join or shuffle is ever
 planned. Two ways to score every row against all C labels inside its own task:
 
-* ``method="arrow"`` (default): the C×D label matrix is collected behind a hard
-  size check (at most ``max_labels`` rows, else an error) and broadcast once;
-  an Arrow-batched pandas UDF scores a whole batch with one matrix product.
-  Vector arithmetic in higher-order SQL functions is interpreted per element,
-  so for embedding widths this is one to two orders of magnitude faster.
+* ``method="arrow"`` (default): the C×D label matrix is cut into blocks of at
+  most ``BLOCK_BYTES``, each broadcast and scored by an Arrow-batched pandas
+  UDF with one matrix product a batch; the blocks' scores are joined in label
+  order. Vector arithmetic in higher-order SQL functions is interpreted per
+  element, so for embedding widths this is one to two orders of magnitude
+  faster.
 * ``method="sql"``: the label vectors are folded into ONE value (array of
   structs) by a scalar subquery and scored with built-in higher-order
-  functions; no Python, size-checked at run time with ``raise_error``.
+  functions; no Python. The fold's size is checked before it is built: beyond
+  ``BLOCK_BYTES`` this method refuses and names the other one.
+
+A null vector scores null. Vectors of different widths are a named error
+(``WidthError``), never cut to one of them.
 """
 
 from __future__ import annotations
@@ -24,7 +29,11 @@ from pyspark.sql import types as T
 from labelforge.functions.vectors import cosine, dot, floored_norm
 from labelforge.schemas import NORM_EPS
 
-MAX_LABELS = 4096
+BLOCK_BYTES = 64 << 20
+
+
+class WidthError(ValueError):
+    """Vectors that should have one width have several."""
 
 
 # Arrow path -------------------------------------------------------------------
@@ -36,35 +45,55 @@ class _Inline:
 
 
 class LabelMatrix:
-    """C label vectors (ids ascending) as a broadcast numpy matrix."""
+    """C label vectors (ids ascending) as broadcast numpy matrices of bounded size."""
 
     def __init__(self, label_vectors: DataFrame, vec_col: str = "vec", bias_col: str | None = None,
-                 max_labels: int = MAX_LABELS):
+                 block_bytes: int = BLOCK_BYTES):
         cols = [F.col("label_idx").cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")]
         if bias_col:
             cols.append(F.col(bias_col).cast("double").alias("b"))
-        rows = label_vectors.select(*cols).orderBy("i").limit(max_labels + 1).collect()
-        if len(rows) > max_labels:
-            raise ValueError(f"more than {max_labels} label vectors; refusing to broadcast them")
-        self.ids = np.array([r.i for r in rows], dtype=np.int64)
-        w = np.array([r.v for r in rows], dtype=np.float64)
+        named = label_vectors.select(*cols)
+        self.dim = vector_dim(named, "v")
+        per_block = max(1, block_bytes // (8 * max(self.dim, 1)))
+        self.ids, self._blocks, held = [], [], []
+        # one partition of the sorted table after the other reaches the driver
+        for r in named.orderBy("i").toLocalIterator():
+            held.append(r)
+            if len(held) == per_block:
+                self._add(label_vectors, held, bias_col)
+                held = []
+        if held or not self._blocks:
+            self._add(label_vectors, held, bias_col)
+        self.ids = np.array(self.ids, dtype=np.int64)
+
+    def _add(self, label_vectors: DataFrame, rows: list, bias_col: str | None) -> None:
+        w = np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), self.dim)
         b = np.array([r.b for r in rows], dtype=np.float64) if bias_col else np.zeros(len(rows))
+        self.ids += [r.i for r in rows]
         try:
-            self._bc = label_vectors.sparkSession.sparkContext.broadcast((self.ids, w, b))
+            self._blocks.append(label_vectors.sparkSession.sparkContext.broadcast((w, b)))
         except Exception:  # remote session without a context: ship with the function
-            self._bc = _Inline((self.ids, w, b))
+            self._blocks.append(_Inline((w, b)))
 
     def scores(self, vec: Column, kind: str = "cosine", eps: float = NORM_EPS) -> Column:
         """array<double> per row, label order: ``cosine``, ``linear`` (x·w + b)
-        or ``attended`` (linear × cosine)."""
-        bc = self._bc
+        or ``attended`` (linear × cosine); null for a null vector."""
+        parts = [self._block_scores(bc, vec, kind, eps) for bc in self._blocks]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    def _block_scores(self, bc, vec: Column, kind: str, eps: float) -> Column:
+        dim = self.dim
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def score(v: pd.Series) -> pd.Series:
-            _ids, w, b = bc.value
-            if len(v) == 0:
-                return pd.Series([], dtype=object)
-            x = np.stack(v.to_numpy()).astype(np.float64)
+            w, b = bc.value
+            known = v.notna().to_numpy()
+            if not known.any():
+                return pd.Series([None] * len(v), dtype=object)
+            widths = {len(a) for a in v[known]}
+            if widths != {dim}:
+                raise WidthError(f"vectors of width {sorted(widths)} against label vectors of width {dim}")
+            x = np.stack(v[known].to_numpy()).astype(np.float64)
             raw = x @ w.T
             if kind == "linear":
                 out = raw + b
@@ -73,7 +102,8 @@ class LabelMatrix:
                 nw = np.maximum(np.linalg.norm(w, axis=1), eps)[None, :]
                 cos = raw / (nx * nw)
                 out = cos if kind == "cosine" else (raw + b) * cos
-            return pd.Series(list(out))
+            scored = iter(out)
+            return pd.Series([next(scored) if k else None for k in known], dtype=object)
 
         # declared nondeterministic so the optimizer never copies the call into
         # a pushed-down or inferred filter (that would run the batch twice)
@@ -95,10 +125,12 @@ class LabelMatrix:
 
 
 def vector_dim(df: DataFrame, vec_col: str) -> int:
-    row = df.select(F.size(vec_col).alias("n")).first()
-    if row is None:
-        raise ValueError("no vectors")
-    return int(row["n"])
+    """The width that all non-null vectors have (one aggregation over all rows; 0 without vectors)."""
+    w = F.when(F.col(vec_col).isNotNull(), F.size(vec_col))
+    low, high = df.agg(F.min(w), F.max(w)).first()
+    if low != high:
+        raise WidthError(f"column {vec_col!r} holds vectors of width {low} to {high}")
+    return int(low or 0)
 
 
 # V5 -------------------------------------------------------------------------
@@ -109,9 +141,14 @@ def label_prototypes(df: DataFrame, vec_col: str, label_col: str,
     With the width known, one grouped aggregation keeps ``dim`` running sums
     per label (partial-aggregated map-side, so a label holding a third of the
     rows costs nothing extra); otherwise positions are exploded and averaged.
+    A vector of another width than ``dim`` is an error; null vectors and
+    labels of no vector are left out.
     """
+    df = df.filter(F.col(vec_col).isNotNull())
     v = F.col(vec_col).cast("array<double>")
     if dim is not None:
+        v = F.when(F.size(vec_col) == dim, v).otherwise(
+            F.raise_error(F.concat(F.lit(f"a vector of another width than {dim}: "), F.size(vec_col).cast("string"))))
         agg = df.groupBy(F.col(label_col).alias("label_idx")).agg(
             *[F.avg(v[i]).alias(f"_m{i}") for i in range(dim)])
         return agg.select("label_idx", F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("vec"))
@@ -123,18 +160,17 @@ def label_prototypes(df: DataFrame, vec_col: str, label_col: str,
 
 
 def folded_labels(label_vectors: DataFrame, vec_col: str = "vec",
-                  extra: list[str] | None = None, max_labels: int = MAX_LABELS) -> Column:
+                  extra: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> Column:
     """All label vectors as one array<struct> value (scalar subquery)."""
+    n, dim = label_vectors.count(), vector_dim(label_vectors, vec_col)
+    if n * dim * 8 > block_bytes:
+        raise ValueError(f"{n} label vectors of width {dim} are too large to fold; use method='arrow'")
     fields = [F.col("label_idx").cast("long").alias("label_idx"),
               F.col(vec_col).cast("array<double>").alias("vec"),
               floored_norm(F.col(vec_col).cast("array<double>")).alias("norm")]
     fields += [F.col(c) for c in (extra or [])]
     folded = label_vectors.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("labels"))
-    checked = folded.select(
-        F.when(F.size("labels") <= max_labels, F.col("labels"))
-         .otherwise(F.raise_error(F.lit(f"more than {max_labels} label vectors")))
-         .alias("labels"))
-    return checked.scalar()
+    return folded.scalar()
 
 
 def attach_labels(df: DataFrame, label_vectors: DataFrame, name: str = "_lf_labels",

@@ -9,6 +9,7 @@ from labelforge.functions import labels as L
 from labelforge.operators import metrics as M
 from labelforge.plans import standins as S
 from labelforge.plans.registry import proof
+from labelforge.plans.vector_proofs import LOGITS_SQL, class_logits
 
 C = len(S.LABELS)
 R6 = 6
@@ -86,16 +87,14 @@ def metrics_all(spark, d):
 
 
 # M5 / F9 / F11 over embeddings ------------------------------------------------
-EMB_FIRST10_SQL = "list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE))"
+# (logits: the linear class scores over whole vectors)
+PRED_CLASS_SQL = f"SELECT vec_id, label, list_position(logits, list_max(logits)) - 1 AS pred FROM ({LOGITS_SQL}) l"
 
 
 @proof("metric_accuracy",
-       f"SELECT round(avg(CASE WHEN list_position({EMB_FIRST10_SQL}, list_max({EMB_FIRST10_SQL})) - 1 "
-       "= label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM embeddings")
+       f"SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({PRED_CLASS_SQL}) p")
 def metric_accuracy(spark, d):
-    emb = S.table(spark, d, "embeddings")
-    logits = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
-    return _rounded(M.accuracy(emb, L.argmax(logits), F.col("label")))
+    return _rounded(M.accuracy(class_logits(spark, d), L.argmax(F.col("logits")), F.col("label")))
 
 
 @proof("argmax_label",
@@ -110,12 +109,9 @@ CLASS_NAMES = [f"class_{i}" for i in range(10)]
 
 
 @proof("decode_class",
-       f"SELECT vec_id, 'class_' || CAST(list_position({EMB_FIRST10_SQL}, list_max({EMB_FIRST10_SQL})) - 1 AS VARCHAR) "
-       "AS class_name FROM embeddings")
+       f"SELECT vec_id, 'class_' || CAST(pred AS VARCHAR) AS class_name FROM ({PRED_CLASS_SQL}) p")
 def decode_class(spark, d):
-    emb = S.table(spark, d, "embeddings")
-    pred = L.argmax(F.slice(F.col("embedding").cast("array<double>"), 1, 10))
-    return emb.select("vec_id", L.decode_class(pred, CLASS_NAMES).alias("class_name"))
+    return class_logits(spark, d).select("vec_id", L.decode_class(L.argmax(F.col("logits")), CLASS_NAMES).alias("class_name"))
 
 
 # M6 over scored NLI pairs ---------------------------------------------------
@@ -155,13 +151,10 @@ def metrics_entailment(spark, d):
        "SELECT 'f1' AS metric, 'multi_label_classification' AS problem_type, "
        f"round(f1_micro, 6) AS value FROM ({SUMMARY_SQL}) s "
        "UNION ALL SELECT 'accuracy', 'single_label_classification', "
-       f"round(avg(CASE WHEN list_position({EMB_FIRST10_SQL}, list_max({EMB_FIRST10_SQL})) - 1 "
-       "= label THEN 1.0 ELSE 0.0 END), 6) FROM embeddings")
+       f"round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) FROM ({PRED_CLASS_SQL}) p")
 def metric_by_name(spark, d):
     multi = M.metric_by_name(S.scored(spark, d), "f1")
-    emb = S.table(spark, d, "embeddings").select(
-        F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), "label")
-    single = M.metric_by_name(emb, "accuracy")
+    single = M.metric_by_name(class_logits(spark, d), "accuracy")
     return _rounded(multi.unionByName(single))
 
 
@@ -199,31 +192,26 @@ def loss_mse(spark, d):
 @proof("loss_ce",
        "SELECT round(avg(ln(list_sum(list_transform(x, lambda a: exp(a - list_max(x))))) "
        "+ list_max(x) - x[label + 1]), 6) AS loss "
-       f"FROM (SELECT {EMB_FIRST10_SQL} AS x, label FROM embeddings) e")
+       f"FROM (SELECT logits AS x, label FROM ({LOGITS_SQL}) l) e")
 def loss_ce(spark, d):
-    emb = S.table(spark, d, "embeddings").select(
-        F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), "label")
-    return _rounded(M.loss_ce(emb))
+    return _rounded(M.loss(class_logits(spark, d)))          # chosen by the problem type
 
 
 # M10 ------------------------------------------------------------------------
+# by brute force: every cut is counted over all rows on its own
 @proof("threshold_sweep",
-       "WITH pairs AS (SELECT CAST(i - 1 AS BIGINT) AS label_idx, logits[i] AS s, label[i] AS y "
+       "WITH pairs AS (SELECT CAST(i - 1 AS BIGINT) AS label_idx, logits[i] AS s, coalesce(label[i] = 1, false) AS y "
        f"FROM ({S.SCORED_SQL}) q, range(1, {C + 1}) r(i)), "
-       "hist AS (SELECT label_idx, round(s, 3) AS t, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos, "
-       "sum(CASE WHEN coalesce(y = 1, false) THEN 0 ELSE 1 END) AS neg FROM pairs "
-       "WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY label_idx, round(s, 3)), "
-       "cum AS (SELECT label_idx, t, coalesce(sum(pos) OVER (PARTITION BY label_idx ORDER BY t DESC "
-       "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tp, "
-       "coalesce(sum(neg) OVER (PARTITION BY label_idx ORDER BY t DESC "
-       "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fp, "
-       "sum(pos) OVER (PARTITION BY label_idx) AS p_all FROM hist), "
-       "f AS (SELECT label_idx, t, CASE WHEN tp + fp + p_all > 0 THEN 2 * tp / (tp + fp + p_all) "
-       "ELSE 0.0 END AS f1 FROM cum) "
-       "SELECT label_idx, round(arg_max(t, f1 * 1e9 - t), 6) AS best_threshold, "
-       "round(max(f1), 6) AS best_f1 FROM f GROUP BY label_idx")
+       "cuts AS (SELECT DISTINCT label_idx, s AS t FROM pairs UNION SELECT DISTINCT label_idx, '-infinity'::DOUBLE FROM pairs), "
+       "f AS (SELECT c.label_idx, t, sum(CASE WHEN s > t AND y THEN 1 ELSE 0 END) AS tp, "
+       "sum(CASE WHEN s > t AND NOT y THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y THEN 1 ELSE 0 END) AS p "
+       "FROM cuts c JOIN pairs p USING (label_idx) GROUP BY c.label_idx, t), "
+       "g AS (SELECT label_idx, t, CASE WHEN tp + fp + p > 0 THEN 2 * tp / (tp + fp + p) ELSE 0.0 END AS f1 FROM f) "
+       "SELECT label_idx, min(t) AS best_threshold, round(max(f1), 6) AS best_f1 FROM g "
+       "JOIN (SELECT label_idx, max(f1) AS top FROM g GROUP BY label_idx) m USING (label_idx) WHERE f1 = top GROUP BY label_idx")
 def threshold_sweep(spark, d):
-    return _rounded(M.threshold_sweep(S.scored(spark, d), C))
+    best = M.threshold_sweep(S.scored(spark, d), C)
+    return best.select("label_idx", "best_threshold", F.round("best_f1", 6).alias("best_f1"))
 
 
 # F8 / F10 / S11 -------------------------------------------------------------

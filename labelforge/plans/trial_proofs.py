@@ -175,7 +175,8 @@ def best_config_lookup(spark, d):
        "SELECT trial_id, training_iteration, batch_size, round(learning_rate, 9) AS learning_rate, "
        "round(weight_decay, 6) AS weight_decay, num_train_epochs, round(eval_loss, 6) AS loss, "
        "round(eval_f1_micro, 6) AS f1_micro, round(eval_f1_macro, 6) AS f1_macro, "
-       "round(eval_precision_macro, 6) AS precision_macro, round(eval_recall_macro, 6) AS recall_macro "
+       "round(eval_precision_micro, 6) AS precision_micro, round(eval_precision_macro, 6) AS precision_macro, "
+       "round(eval_recall_micro, 6) AS recall_micro, round(eval_recall_macro, 6) AS recall_macro "
        f"FROM ({TRIALS_SQL}) t")
 def trial_report(spark, d):
     r = TR.trial_report(_results(spark, d), "multi_label_classification")

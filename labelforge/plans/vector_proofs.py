@@ -74,6 +74,15 @@ def cosine_label_matrix_sql(spark, d):
     return m.select("vec_id", "label_idx", F.round("cosine", 6).alias("cosine"))
 
 
+def class_logits(spark, d):
+    """vec_id, label and the linear score of every class (whole vectors)."""
+    lm = V.LabelMatrix(_weights(spark, d), bias_col="b")
+    return _emb(spark, d).select("vec_id", "label", lm.scores(F.col("embedding"), "linear").alias("logits"))
+
+
+LOGITS_SQL = f"SELECT vec_id, any_value(label) AS label, list(linear ORDER BY label_idx) AS logits FROM ({PAIRS_SQL}) x GROUP BY vec_id"
+
+
 def _long(spark, d, kind):
     lm = V.LabelMatrix(_weights(spark, d), bias_col="b")
     out = lm.long_form(_emb(spark, d), "vec_id", "embedding", kind, "score")

@@ -13,19 +13,31 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.operators.trials import best_trial, read_trial_results
 from labelforge.schemas import TRIAL_RESULT_SCHEMA
 
 
+def model_below(spark: SparkSession, root: str, path: Column) -> Column:
+    """The first directory level below ``root`` in the (url-encoded) file path;
+    a file that lies in no such directory is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    resolved = files.makeQualified(target).toUri().getPath().rstrip("/") + "/"
+    # file:///x, file:/x and hdfs://host/x all end in the path proper
+    proper = F.url_decode(F.replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    below = F.substring_index(F.substring(proper, len(resolved) + 1, 1 << 20), "/", 1)
+    inside = F.startswith(proper, F.lit(resolved)) & F.contains(F.substring(proper, len(resolved) + 1, 1 << 20), F.lit("/"))
+    return F.when(inside & (below != ""), below).otherwise(
+        F.raise_error(F.concat(F.lit("no model directory in the path of "), path)))
+
+
 def select_best(spark: SparkSession, results_dir: str, metric: str = "objective", mode: str = "max",
                 skip_dir: str | None = None, file_glob: str = "result.json") -> DataFrame:
     df = read_trial_results(spark, results_dir, TRIAL_RESULT_SCHEMA, file_glob, skip_dir)
-    root = results_dir.rstrip("/").split("://")[-1]
-    model = F.regexp_extract("_lf_path", f"{root}/+([^/]+)/", 1)
-    df = df.withColumn("model", model).drop("_lf_path")
+    df = df.withColumn("model", model_below(spark, results_dir, F.col("_lf_path"))).drop("_lf_path")
     keep = [c for c in df.columns if c not in ("model", metric)]
     return best_trial(df, "model", metric, keep, mode)
 
