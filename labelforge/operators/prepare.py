@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions.labels import (label_columns_by_position, negate_label,
@@ -76,7 +76,8 @@ def drop_columns(df: DataFrame, names: str | list[str] | None) -> DataFrame:
 
 # P6 / P7 --------------------------------------------------------------------
 def split_alias(df: DataFrame, mapping: dict[str, str], split_col: str = "split") -> DataFrame:
-    """Rename split values (``{"validation": "dev"}``); equal names are a no-op."""
+    """Rename split values (``{"validation": "dev"}``); equal names are a no-op.
+    A split that the table does not have is an error when the rows are read."""
     mapping = {k: v for k, v in mapping.items() if k != v}
     if not mapping:
         return df
@@ -84,7 +85,12 @@ def split_alias(df: DataFrame, mapping: dict[str, str], split_col: str = "split"
     for old, new in mapping.items():
         expr = (F.when(F.col(split_col) == old, F.lit(new)) if expr is None
                 else expr.when(F.col(split_col) == old, F.lit(new)))
-    return df.withColumn(split_col, expr.otherwise(F.col(split_col)))
+    there = df.agg(*[F.coalesce(F.max(F.col(split_col) == old), F.lit(False)).alias(f"h{i}") for i, old in enumerate(mapping)])
+    checks = [F.when(~F.col(f"h{i}"), F.raise_error(F.lit(f"no split {old!r} to rename")).cast("boolean")).otherwise(F.lit(True))
+              for i, old in enumerate(mapping)]
+    every = there.select(F.array(*checks).alias("ok"))
+    return (df.withColumn(split_col, expr.otherwise(F.col(split_col)))
+            .filter(F.size(every.scalar()) == len(mapping)))
 
 
 def eval_split_name(present: set[str]) -> str:
@@ -97,14 +103,17 @@ def eval_split_name(present: set[str]) -> str:
 
 
 def eval_split(df: DataFrame, split_col: str = "split") -> DataFrame:
-    """Rows of the evaluation split (validation, falling back to test).
+    """Rows of the evaluation split (validation, falling back to test; neither
+    is an error when the rows are read).
 
     The choice is a one-value scalar subquery over the (few) split names, so
     no split list is brought to the driver.
     """
     pref = F.when(F.col(split_col) == "validation", 1).when(F.col(split_col) == "test", 2)
     choice = (df.select(split_col, pref.alias("_pref")).filter(F.col("_pref").isNotNull())
-                .agg(F.min_by(split_col, "_pref").alias("_chosen")))
+                .agg(F.min_by(split_col, "_pref").alias("_chosen"))
+                .select(F.when(F.col("_chosen").isNotNull(), F.col("_chosen")).otherwise(
+                    F.raise_error(F.lit("evaluation needs a validation or test split"))).alias("_chosen")))
     return df.filter(F.col(split_col) == choice.scalar())
 
 
@@ -121,11 +130,6 @@ def with_position(df: DataFrame, order_cols: list[str], name: str = INDEX_COL) -
 
 
 # P11 ------------------------------------------------------------------------
-def label_dictionary(spark, labels: list[str]) -> DataFrame:
-    """(label_idx, label_name) in vector order."""
-    return spark.createDataFrame(list(enumerate(labels)), "label_idx long, label_name string")
-
-
 def label_dictionary_from(df: DataFrame, label_cols: list[str]) -> DataFrame:
     """(label_idx, label_name, n_labelled) from a label table: the label
     columns in file order, with how many rows carry a value for each (one
@@ -137,11 +141,6 @@ def label_dictionary_from(df: DataFrame, label_cols: list[str]) -> DataFrame:
     return long.groupBy("label_idx", "label_name").agg(F.sum("has").alias("n_labelled"))
 
 
-def label_map(labels: list[str]) -> Column:
-    """Inline name → id map for use in expressions."""
-    return F.create_map(*[x for i, n in enumerate(labels) for x in (F.lit(n), F.lit(i))])
-
-
 # P12 ------------------------------------------------------------------------
 def candidate_term_filter(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
     """OR of whole-word, case-insensitive term matches over the full text."""
@@ -154,11 +153,39 @@ def candidate_term_filter(df: DataFrame, text_col: str, terms: list[str]) -> Dat
     return df.filter(F.col(text_col).rlike(pattern))
 
 
+def mesh_term_filter(df: DataFrame, headings: str, terms: list[tuple[str, str | None]],
+                     major_only: bool = True) -> DataFrame:
+    """Rows with a heading of one of the (topic, qualifier or None) terms.
+
+    ``headings``: array of structs (name, qualifiers array<string>, major
+    boolean). Names compare without regard to case. ``major_only`` asks for a
+    major topic. Rows without headings are left out.
+    """
+    if not terms:
+        return df.limit(0)
+
+    def fits(h: Column) -> Column:
+        ways = None
+        for topic, qualifier in terms:
+            way = F.lower(h["name"]) == topic.lower()
+            if qualifier is not None:
+                way = way & F.array_contains(F.transform(F.coalesce(h["qualifiers"], F.array()), lambda q: F.lower(q)),
+                                             qualifier.lower())
+            ways = way if ways is None else ways | way
+        return F.coalesce(ways & h["major"], F.lit(False)) if major_only else F.coalesce(ways, F.lit(False))
+    return df.filter(F.exists(headings, fits))
+
+
 # J3 / J7 --------------------------------------------------------------------
-def keyed_update(target: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
+def keyed_update(target: DataFrame, updates: DataFrame, key: str, column: str,
+                 order: str | None = None) -> DataFrame:
     """Set ``column`` from ``updates`` where the key matches; other rows keep
-    their value (null when never set)."""
-    upd = updates.select(F.col(key), F.col(column).alias("_lf_new"))
+    their value (null when never set). Of several updates of a key the last in
+    ``order`` (without one: the largest value) counts; target rows never
+    multiply. A null value is no update."""
+    new = F.col(column)
+    pick = F.max(new) if order is None else F.max_by(column, F.struct(F.col(order), new))
+    upd = updates.filter(new.isNotNull()).groupBy(key).agg(pick.alias("_lf_new"))
     out = target.join(upd, key, "left")
     if column in target.columns:
         out = out.withColumn(column, F.coalesce(F.col("_lf_new"), F.col(column)))
@@ -167,40 +194,53 @@ def keyed_update(target: DataFrame, updates: DataFrame, key: str, column: str) -
     return out.drop("_lf_new")
 
 
-def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
-
-
 def missing_ids(requested: DataFrame, received: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(received.select(key), key, "left_anti")
 
 
 # X1 / X2 --------------------------------------------------------------------
 def build_labelled(abstracts: DataFrame, labels: DataFrame, spec: LabelSpec,
-                   key: str = "PMID", split_col: str = "Split",
-                   with_index: bool = True, unique_key: bool = True) -> DataFrame:
+                   key: str = "PMID", split_col: str = "Split", with_index: bool = True) -> DataFrame:
     """abstracts ⋈ labels → label vector → split filter (→ row position).
 
     One DataFrame with a ``split_name`` column; write it partitioned by it.
-    With ``unique_key`` (one abstract and one label row per id, as in the
-    corpus files) the position is computed on the ids alone and attached to
-    the narrow label rows before the join, so the texts move only once.
+    Repeated ids on either side give every match, as an inner join does, and
+    every merged row has a position of its own. Positions are computed on ids
+    and label rows alone; the texts are read and moved once.
     """
-    lab = indexed_labels(abstracts, labels, key) if (with_index and unique_key) else labels
-    merged = with_label_vector(join_labels(abstracts, lab, key), spec.labels)
-    if with_index and unique_key:
+    merged = indexed_join(abstracts, indexed_labels(abstracts, labels, key), key) if with_index \
+        else join_labels(abstracts, labels, key)
+    merged = with_label_vector(merged, spec.labels)
+    if with_index:
         merged = merged.select(*[c for c in merged.columns if c != INDEX_COL], INDEX_COL)
-    elif with_index:
-        merged = with_position(merged, [key])
     return split_filter(merged, split_col)
 
 
 def indexed_labels(abstracts: DataFrame, labels: DataFrame, key: str = "PMID") -> DataFrame:
-    """Label rows with the row position the merged table will give them
-    (position of the id among ids present on both sides, in id order). Only
-    ids are joined and range-shuffled here."""
-    ids = labels.select(key).join(abstracts.select(key), key)
-    return labels.join(with_row_index(ids, [key], INDEX_COL), key)
+    """A row for each row of the merged table, without the texts: the label
+    columns, ``_lf_copy`` (which of the id's abstracts) and the position.
+
+    Positions follow the id, then the copy, then the label values. Only ids
+    and label rows are joined and range-shuffled here.
+    """
+    copies = abstracts.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_lf_n"))
+    rows = (labels.join(copies, key)
+            .withColumn("_lf_copy", F.explode(F.sequence(F.lit(1), F.col("_lf_n")))).drop("_lf_n"))
+    order = [qcol(key), F.col("_lf_copy"), F.xxhash64(*[qcol(c) for c in labels.columns])]
+    return with_row_index(rows, order, INDEX_COL)
+
+
+def indexed_join(abstracts: DataFrame, indexed: DataFrame, key: str = "PMID") -> DataFrame:
+    """The merged rows: each abstract of an id is numbered in the order of its
+    content and meets the rows of its number. Numbering and join share one
+    hash partitioning on the id, so the texts are shuffled once."""
+    content = F.xxhash64(*[qcol(c) for c in abstracts.columns])
+    numbered = abstracts.withColumn(
+        "_lf_place", F.row_number().over(Window.partitionBy(key).orderBy(content)).cast("long"))
+    other = indexed.withColumnRenamed(key, "_lf_key")
+    # a difference, not an equality of two columns: the id stays the only join key
+    joined = numbered.join(other, (qcol(key) == F.col("_lf_key")) & (F.col("_lf_place") - F.col("_lf_copy") == 0))
+    return joined.drop("_lf_key", "_lf_place", "_lf_copy")
 
 
 def build_binary(abstracts: DataFrame, binary_labels: DataFrame, spec: LabelSpec,
@@ -255,18 +295,19 @@ def build_all(abstracts: DataFrame, binary_labels: DataFrame, soft_labels: DataF
               spec: LabelSpec, out_dir: str, key: str = "PMID") -> dict[str, str]:
     """X4: binary, soft and NLI datasets, each split-partitioned.
 
-    The texts are read and shuffled once: the binary and soft label rows (same
-    columns, each with its row position computed on ids only) are tagged and
-    unioned, joined with the abstracts in ONE join, and written partitioned by
-    (dataset, split) — no cache of the corpus. The NLI set is expanded from the
-    written binary set (lineage cut there).
+    The texts of a Parquet corpus are read and shuffled once (land a CSV as
+    Parquet first: a CSV is parsed anew by every scan, also of its ids): the
+    binary and soft label rows (same columns, each with its row position
+    computed on ids only) are tagged and unioned, joined with the abstracts in
+    ONE join, and written partitioned by (dataset, split). The NLI set is
+    expanded from the written binary set (lineage cut there).
     """
     labelled = f"{out_dir}/labelled"
     paths = {"binary": f"{labelled}/dataset=binary", "soft": f"{labelled}/dataset=soft",
              "nli": f"{out_dir}/nli_dataset"}
     tagged = (indexed_labels(abstracts, binary_labels, key).withColumn("dataset", F.lit("binary"))
               .unionByName(indexed_labels(abstracts, soft_labels, key).withColumn("dataset", F.lit("soft"))))
-    merged = with_label_vector(join_labels(abstracts, tagged, key), spec.labels)
+    merged = with_label_vector(indexed_join(abstracts, tagged, key), spec.labels)
     merged = merged.select(*[c for c in merged.columns if c not in (INDEX_COL, "dataset")],
                            INDEX_COL, "dataset")
     split_filter(merged).write.mode("overwrite").partitionBy("dataset", SPLIT_NAME).parquet(labelled)

@@ -139,14 +139,14 @@ def build_binary(spark, d):
 @proof("build_soft",
        "SELECT PMID, Title, Abstract, Split, \"Number of Annotators\", "
        "round(quality, 6) AS quality, round(toxic, 6) AS toxic, "
-       "[round(quality, 6), round(toxic, 6)] AS label, lower(Split) AS split_name "
-       f"FROM ({S.SOFT_MERGED_SQL}) m WHERE Split IN ('Train', 'Validation', 'Test')")
+       "[round(quality, 6), round(toxic, 6)] AS label, __index_level_0__, lower(Split) AS split_name "
+       f"FROM (SELECT *, row_number() OVER (ORDER BY PMID) - 1 AS __index_level_0__ FROM ({S.SOFT_MERGED_SQL}) x) m "
+       "WHERE Split IN ('Train', 'Validation', 'Test')")
 def build_soft(spark, d):
-    out = prep.build_soft(S.abstracts(spark, d), S.soft_labels(spark, d), S.SPEC,
-                          with_index=False)
+    out = prep.build_soft(S.abstracts(spark, d), S.soft_labels(spark, d), S.SPEC)
     return out.select("PMID", "Title", "Abstract", "Split", "Number of Annotators",
                       F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"),
-                      F.transform("label", lambda x: F.round(x, 6)).alias("label"), "split_name")
+                      F.transform("label", lambda x: F.round(x, 6)).alias("label"), "__index_level_0__", "split_name")
 
 
 @proof("build_nli", S.NLI_SQL)
@@ -184,18 +184,27 @@ def labels_sorted(spark, d):
 
 
 @proof("build_all",
-       "SELECT 'binary' AS dataset, lower(Split) AS split_name, count(*) AS n "
-       f"FROM ({S.MERGED_SQL}) m WHERE Split IN ('Train', 'Validation', 'Test') GROUP BY 2 UNION ALL "
-       "SELECT 'soft', lower(Split), count(*) "
-       f"FROM ({S.SOFT_MERGED_SQL}) s WHERE Split IN ('Train', 'Validation', 'Test') GROUP BY 2 UNION ALL "
-       f"SELECT 'nli', split_name, count(*) FROM ({S.NLI_SQL}) n GROUP BY 2")
+       "WITH b AS (SELECT *, row_number() OVER (ORDER BY PMID) - 1 AS i FROM (" + S.MERGED_SQL + ") x), "
+       "s AS (SELECT *, row_number() OVER (ORDER BY PMID) - 1 AS i FROM (" + S.SOFT_MERGED_SQL + ") x) "
+       "SELECT 'binary' AS dataset, lower(Split) AS split_name, PMID, i AS place, -1 AS label_idx, true AS positive, "
+       "round(quality, 6) AS first, round(toxic, 6) AS second FROM b WHERE Split IN ('Train', 'Validation', 'Test') UNION ALL "
+       "SELECT 'soft', lower(Split), PMID, i, -1, true, round(quality, 6), round(toxic, 6) FROM s "
+       "WHERE Split IN ('Train', 'Validation', 'Test') UNION ALL "
+       f"SELECT 'nli', split_name, PMID, -1, Label_idx, Positive, round(Entailment, 6), NULL FROM ({S.NLI_SQL}) n")
 def build_all(spark, d):
     from labelforge.session import work_path
     paths = prep.build_all(S.abstracts(spark, d), S.binary_labels(spark, d), S.soft_labels(spark, d),
                            S.SPEC, work_path(spark, "hf-datasets"))
     out = None
     for name, path in paths.items():
-        part = (spark.read.parquet(path).groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(name).alias("dataset"), "split_name", "n"))
+        rows = spark.read.parquet(path)
+        if name == "nli":
+            part = rows.select(F.lit(name).alias("dataset"), "split_name", "PMID", F.lit(-1).cast("long").alias("place"),
+                               F.col("Label_idx").alias("label_idx"), F.col("Positive").alias("positive"),
+                               F.round("Entailment", 6).alias("first"), F.lit(None).cast("double").alias("second"))
+        else:
+            part = rows.select(F.lit(name).alias("dataset"), "split_name", "PMID", F.col(prep.INDEX_COL).alias("place"),
+                               F.lit(-1).cast("long").alias("label_idx"), F.lit(True).alias("positive"),
+                               F.round(F.col("label")[0], 6).alias("first"), F.round(F.col("label")[1], 6).alias("second"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -41,15 +41,31 @@ def soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean label per source, given to every labelled document of the source.
 
     Per-source means are a partial aggregation (hot sources are combined
-    map-side); the join back runs as a broadcast only when adaptive execution
-    measures the per-source table small, else as a skew-split sort-merge join.
+    map-side) of the narrow labelled rows, which are written once. The means
+    are broadcast after their rows have been counted; a table of more than
+    ``MAX_SOURCES`` sources is joined with the rows salted instead.
     """
     lab = binary_labels(spark, sf_dir)
     src = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("PMID"), "source")
-    tagged = lab.join(src, "PMID")
+    path = landed(spark, sf_dir, "labelled-sources", lambda: _written(lab.join(src, "PMID"), "labelled-sources"))
+    tagged = spark.read.parquet(path)
     means = tagged.groupBy("source").agg(*[F.avg(c).alias(c) for c in LABELS])
-    return (tagged.select("PMID", "Split", "Number of Annotators", "source")
-                  .join(means, "source").drop("source"))
+    rows = tagged.select("PMID", "Split", "Number of Annotators", "source")
+    if means.count() <= MAX_SOURCES:
+        return rows.join(F.broadcast(means), "source").drop("source")
+    salted = means.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.withColumn("salt", F.pmod(F.xxhash64("PMID"), F.lit(SALTS)).cast("int"))
+            .join(salted, ["source", "salt"]).drop("source", "salt"))
+
+
+MAX_SOURCES, SALTS = 100_000, 64
+
+
+def _written(df: DataFrame, name: str) -> str:
+    from labelforge.session import work_path
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
