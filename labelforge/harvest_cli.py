@@ -5,8 +5,8 @@
 
 ``plan`` writes the request table (batch id, ids, request text) — fetching is
 left to whatever moves files, no request is sent from here. ``ingest`` reads
-every landed XML body in one scan, quarantines malformed records, and writes
-(as CSV with a header) the abstracts, the ids with their MeSH ids joined by
+every landed XML body in one scan, quarantines malformed records, keeps one
+record per id, and writes (as CSV with a header) the abstracts, the ids with their MeSH ids joined by
 ", ", and the per-batch ledger of ids asked for / returned / missing.
 """
 
@@ -39,7 +39,12 @@ def plan(spark: SparkSession, ids_csv: str, save_dir: str, batch_size: int = H.D
 
 def ingest(spark: SparkSession, ids_csv: str, bodies: str, save_dir: str,
            batch_size: int = H.DEFAULT_BATCH_SIZE, key: str = "PMID") -> dict[str, str]:
-    records, bad = H.quarantine(H.xml_records(H.read_bodies(spark, bodies)))
+    # one scan and one parse; every output reads the landed table
+    landed = f"{save_dir}/parsed"
+    H.parse_records(H.xml_records(H.read_bodies(spark, bodies))).write.mode("overwrite").parquet(landed)
+    parsed = spark.read.parquet(landed)
+    bad = H.quarantine(parsed)[1]
+    records = H.one_per_id(parsed)
     abstracts = H.abstracts_from_records(records)
     mesh = H.mesh_joined(records)
     paths = {"abstracts": f"{save_dir}/pmid_w_abstracts", "mesh": f"{save_dir}/mesh_data_with_abstracts",
@@ -49,7 +54,7 @@ def ingest(spark: SparkSession, ids_csv: str, bodies: str, save_dir: str,
     IO.write_csv(keyed_update(abstracts, mesh, "PubMedID", "MeshID"), paths["mesh"])
     planned = H.plan_batches(requested_ids(spark, ids_csv, key), key, batch_size)
     IO.write_csv(H.harvest_ledger(planned, abstracts, key), paths["ledger"])
-    bad.select("path", "record").write.mode("overwrite").json(paths["quarantine"])
+    bad.select("path", "record", "error").write.mode("overwrite").json(paths["quarantine"])
     return paths
 
 

@@ -101,3 +101,31 @@ def map_batches(df: DataFrame, rows, schema) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def perhaps_in(df: DataFrame, col: Column, wanted: DataFrame, wanted_col: Column, bits: int = 1 << 24) -> DataFrame:
+    """The rows of ``df`` whose ``col`` may be among ``wanted``: a filter before a wide shuffle.
+
+    A bitmap of ``bits`` hash places (2 MB, whatever the number of rows) is
+    merged on the executors and sent to the tasks. No wanted row is lost; the
+    more rows are wanted, the less the filter saves.
+    """
+    import numpy as np
+
+    place = F.pmod(F.xxhash64(wanted_col), F.lit(bits))
+    rows = (wanted.select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").alias("b"))
+            .groupBy("k").agg(F.bitmap_construct_agg("b").alias("m")).collect())       # at most bits / 32768 rows of 4 KB
+    # bucket k holds the places (k - 1) * 32768 + 1 ... k * 32768 for k > 0
+    first = wanted.sparkSession.range(1).select(F.bitmap_bucket_number(F.lit(0)).alias("k")).first().k
+    found = np.zeros((bits // 32768 + 2, 4096), np.uint8)
+    for r in rows:
+        found[r.k - first] = np.frombuffer(bytes(r.m), np.uint8)
+    at = F.pmod(F.xxhash64(col), F.lit(bits))
+
+    @F.pandas_udf("boolean")
+    def marked(bucket, bit):
+        k, b = bucket.to_numpy() - first, bit.to_numpy()
+        import pandas as pd
+        return pd.Series((found[k, b // 8] >> (b % 8)) & 1 == 1)
+
+    return df.where(marked(F.bitmap_bucket_number(at), F.bitmap_bit_position(at)))

@@ -3,9 +3,10 @@
 No request is sent from here. A harvest is planned as a table (ids → fixed-size
 batches → comma-joined id strings → request text), and the returned bodies,
 landed as files, are parsed as a table: one row per body file (whole text),
-split into one row per record, fields taken out with the built-in XPath
-functions. Bodies are bounded by the batch size, so a row never holds more
-than one batch.
+split into one row per record, and every record is parsed once, in an
+Arrow-batched pass that gives all its fields or the reason it is quarantined.
+Bodies are bounded by the batch size, so a row never holds more than one
+batch.
 """
 
 from __future__ import annotations
@@ -88,95 +89,92 @@ def xml_records(bodies: DataFrame, body_col: str = "body") -> DataFrame:
                   .drop(body_col))
 
 
-@F.pandas_udf(T.BooleanType())
-def well_formed(records: pd.Series) -> pd.Series:
-    """True when the record parses as XML (bad records are quarantined before
-    the XPath functions, which would fail the job on them)."""
-    def ok(x):
-        if x is None:
-            return False
-        try:
-            ET.fromstring(x)
-            return True
-        except ET.ParseError:
-            return False
-    return records.map(ok)
+RECORD_FIELDS = T.StructType([
+    T.StructField("pmid", T.StringType()), T.StructField("has_abstract", T.BooleanType()),
+    T.StructField("abstract", T.StringType()), T.StructField("mesh", T.ArrayType(T.StringType())),
+    T.StructField("error", T.StringType())])
+PARSED = "_lf_parsed"
 
 
-def quarantine(records: DataFrame, record_col: str = "record") -> tuple[DataFrame, DataFrame]:
-    """(good, bad) records. In ``good`` the record column is re-derived from
-    the check's result, so no XPath filter on it can be pushed below the
-    check and meet a malformed record. The check is declared nondeterministic
-    so the optimizer keeps it in one place (a deterministic UDF would be copied
-    into the pushed-down filter and run twice)."""
-    flagged = records.withColumn("_lf_ok", well_formed.asNondeterministic()(F.col(record_col)))
-    good = (flagged.filter(F.col("_lf_ok"))
-                   .withColumn(record_col, F.when(F.col("_lf_ok"), F.col(record_col)))
-                   .drop("_lf_ok"))
-    return good, flagged.filter(~F.col("_lf_ok")).drop("_lf_ok")
+def record_fields(record: str | None) -> dict:
+    """One parse of a raw record: the first id, every text node under Abstract
+    joined by one space (blanks kept), the descriptor ids of its headings; or
+    the error that keeps it out."""
+    out = dict.fromkeys(RECORD_FIELDS.names)
+    try:
+        root = ET.fromstring(record or "")
+    except ET.ParseError as err:
+        return out | {"error": str(err)}
+    pmid = root.find("MedlineCitation/PMID")
+    if pmid is None or not (pmid.text or "").strip():
+        return out | {"error": "no id"}
+    found = root.findall("MedlineCitation/Article/Abstract")
+    return {"pmid": pmid.text, "has_abstract": bool(found),
+            "abstract": " ".join(t for a in found for t in a.itertext()) if found else None,
+            "mesh": [h.get("UI") for h in root.iterfind(".//MeshHeading/DescriptorName") if h.get("UI") is not None],
+            "error": None}
 
 
-# F2 - F5 --------------------------------------------------------------------
-def record_pmid(record: Column) -> Column:
-    return F.xpath_string(record, F.lit("(/PubmedArticle/MedlineCitation/PMID)[1]"))
+@F.pandas_udf(RECORD_FIELDS)
+def _parse_records(records: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([record_fields(r) for r in records], columns=RECORD_FIELDS.names, dtype=object)
 
 
-def has_abstract(record: Column) -> Column:
-    return F.xpath_boolean(record, F.lit("/PubmedArticle/MedlineCitation/Article/Abstract"))
+def parse_records(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """Adds the parsed fields of each record, once: one Arrow pass gives id,
+    abstract, MeSH ids and the error flag together. Declared nondeterministic,
+    so the optimizer never copies the parse into a pushed-down filter."""
+    if PARSED in records.columns:
+        return records
+    return records.withColumn(PARSED, _parse_records.asNondeterministic()(F.col(record_col)))
 
 
-def abstract_text(record: Column) -> Column:
-    """Every text node under Abstract, joined by one space (blanks kept)."""
-    return F.array_join(
-        F.xpath(record, F.lit("/PubmedArticle/MedlineCitation/Article/Abstract//text()")), " ")
+def quarantine(records: DataFrame, record_col: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) records, parsed; bad ones are malformed or have no id and
+    carry an ``error`` column."""
+    parsed = parse_records(records, record_col)
+    error = F.col(f"{PARSED}.error")
+    return parsed.filter(error.isNull()), parsed.filter(error.isNotNull()).withColumn("error", error).drop(PARSED)
 
 
-def mesh_ids(record: Column) -> Column:
-    return F.xpath(record, F.lit("//MeshHeading/DescriptorName/@UI"))
+def _good(records: DataFrame, record_col: str, *columns: Column) -> DataFrame:
+    """The columns of every record that parses; the others are left to ``quarantine``."""
+    return parse_records(records, record_col).filter(F.col(f"{PARSED}.error").isNull()).select(*columns)
 
 
-def record_header(record: Column) -> Column:
-    """One XPath evaluation giving ``<number of Abstract elements>|<PMID>``."""
-    return F.xpath_string(record, F.lit(
-        "concat(count(/PubmedArticle/MedlineCitation/Article/Abstract), '|', "
-        "(/PubmedArticle/MedlineCitation/PMID)[1])"))
+def one_per_id(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """Parsed records without repeats: of an id that came back several times the
+    record of the first body (by path, then content) stays; bad records go."""
+    good, _ = quarantine(records, record_col)
+    return (good.withColumn("_lf_at", F.struct("path", F.xxhash64(record_col)))
+            .groupBy(F.col(f"{PARSED}.pmid").alias("_lf_id")).agg(F.min_by(PARSED, "_lf_at").alias(PARSED)).drop("_lf_id"))
 
 
+# F2 - F5 --------------------------------------------------------------------
 def abstracts_from_records(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """(PubMedID, Abstract); records without an abstract are dropped.
-
-    Each XPath call parses the record again, so the presence test and the id
-    come from one call (the header), the text nodes from a second one, and the
-    drop is a generator over 0 or 1 rows rather than a filter (a filter would
-    be pushed below the projection and repeat the header's parse).
-    """
-    r = F.col(record_col)
-    staged = records.select(r, record_header(r).alias("_lf_h"))
-    head = F.split(F.col("_lf_h"), r"\|", 2)
-    row = F.struct(head[1].alias("PubMedID"), abstract_text(r).alias("Abstract"))
-    kept = F.when(head[0] != "0", F.array(row)).otherwise(F.array().cast(
-        "array<struct<PubMedID:string,Abstract:string>>"))
-    return staged.select(F.inline(kept))
+    """(PubMedID, Abstract); records without an abstract are dropped."""
+    p = F.col(PARSED)
+    return (_good(records, record_col, PARSED).filter(p["has_abstract"])
+            .select(p["pmid"].alias("PubMedID"), p["abstract"].alias("Abstract")))
 
 
 def abstracts_with_fallback(records: DataFrame, record_col: str = "record") -> DataFrame:
     """(PMID, Abstract) for every record; a missing or empty abstract reads
     ``Abstract not available``."""
-    r = F.col(record_col)
-    text = F.when(has_abstract(r), abstract_text(r))
-    return records.select(record_pmid(r).alias("PMID"),
-                          F.coalesce(F.nullif(text, F.lit("")), F.lit(ABSTRACT_MISSING)).alias("Abstract"))
+    p = F.col(PARSED)
+    return _good(records, record_col, p["pmid"].alias("PMID"),
+                 F.coalesce(F.nullif(p["abstract"], F.lit("")), F.lit(ABSTRACT_MISSING)).alias("Abstract"))
 
 
 def mesh_long(records: DataFrame, record_col: str = "record") -> DataFrame:
-    r = F.col(record_col)
-    return records.select(record_pmid(r).alias("PubMedID"), F.explode(mesh_ids(r)).alias("MeshID"))
+    p = F.col(PARSED)
+    return (_good(records, record_col, PARSED)
+            .select(p["pmid"].alias("PubMedID"), F.explode(p["mesh"]).alias("MeshID")))
 
 
 def mesh_joined(records: DataFrame, record_col: str = "record") -> DataFrame:
-    r = F.col(record_col)
-    return records.select(record_pmid(r).alias("PubMedID"),
-                          F.array_join(mesh_ids(r), ", ").alias("MeshID"))
+    p = F.col(PARSED)
+    return _good(records, record_col, p["pmid"].alias("PubMedID"), F.array_join(p["mesh"], ", ").alias("MeshID"))
 
 
 # X5 -------------------------------------------------------------------------

@@ -78,15 +78,14 @@ def request_plan(spark, d):
 
 @proof("src_xml_records", f"SELECT CAST(doc_id AS VARCHAR) AS PMID, {RECORD_SQL} AS record FROM documents")
 def src_xml_records(spark, d):
-    rec = _records(spark, d)
-    return rec.select(H.record_pmid(F.col("record")).alias("PMID"), "record")
+    rec = H.parse_records(_records(spark, d))
+    return rec.select(F.col(f"{H.PARSED}.pmid").alias("PMID"), "record")
 
 
 @proof("xml_abstracts",
        f"SELECT CAST(doc_id AS VARCHAR) AS PubMedID, text AS Abstract FROM documents WHERE n_chars >= {SHORT}")
 def xml_abstracts(spark, d):
-    good, _bad = H.quarantine(_records(spark, d))
-    return H.abstracts_from_records(good)
+    return H.abstracts_from_records(_records(spark, d))
 
 
 @proof("xml_mesh_long",
@@ -156,8 +155,8 @@ def append_batches(spark, d):
     # all batches in one read of the landing folder, not a loop over files
     rec = _records(spark, d).withColumn(
         "batch_id", F.regexp_extract("path", r"batch_id=(\d+)", 1).cast("long"))
-    return rec.filter(H.has_abstract(F.col("record"))).select(
-        "batch_id", H.record_pmid(F.col("record")).alias("PubMedID"))
+    good, _ = H.quarantine(rec)
+    return good.filter(F.col(f"{H.PARSED}.has_abstract")).select("batch_id", F.col(f"{H.PARSED}.pmid").alias("PubMedID"))
 
 
 @proof("stream_ingest",
@@ -165,7 +164,7 @@ def append_batches(spark, d):
 def stream_ingest(spark, d):
     src = _land_xml(spark, d)
     base = work_path(spark, "stream-ingest")
-    return ingest.ingest_available(spark, src, f"{base}/table", f"{base}/checkpoint")
+    return ingest.ingest_available(spark, src, f"{base}/table", f"{base}/checkpoint", bounded_state=False)
 
 
 @proof("stream_ingest_bounded",
@@ -174,4 +173,19 @@ def stream_ingest_bounded(spark, d):
     # endless-feed form: dedup state bounded by a watermark on landing time
     src = _land_xml(spark, d)
     base = work_path(spark, "stream-ingest-bounded")
-    return ingest.ingest_available(spark, src, f"{base}/table", f"{base}/checkpoint", bounded_state=True)
+    return ingest.ingest_available(spark, src, f"{base}/table", f"{base}/checkpoint")
+
+
+@proof("xml_dirty_bodies",
+       f"SELECT CAST(doc_id AS VARCHAR) AS PubMedID, text AS Abstract FROM documents WHERE n_chars >= {SHORT} AND doc_id % 7 <> 0")
+def xml_dirty_bodies(spark, d):
+    """Every record landed twice, in different bodies, and each seventh broken
+    by a bare ampersand: one row per id stays, the broken ones are quarantined."""
+    docs = S.table(spark, d, "documents")
+
+    def land():
+        good = H.render_xml_record(F.col("doc_id"), F.when(F.col("n_chars") >= SHORT, F.col("text")), [F.col("lang")])
+        rec = F.when(F.col("doc_id") % 7 == 0, F.replace(good, F.lit("</PMID>"), F.lit(" & </PMID>"))).otherwise(good)
+        once = _planned(spark, d).join(docs, "doc_id").select("batch_id", "pos", rec.alias("rec"))
+        return H.land_bodies(once.union(once.select(F.col("batch_id") + 1, "pos", "rec")), work_path(spark, "dirty-bodies"))
+    return H.abstracts_from_records(H.one_per_id(_records(spark, d, S.landed(spark, d, "dirty-bodies", land))))
