@@ -113,9 +113,9 @@ class LabelMatrix:
         return F.array(*[F.lit(int(i)).cast("long") for i in self.ids])
 
     def nearest(self, vec: Column, eps: float = NORM_EPS) -> Column:
-        """Label id with the highest cosine (ties → lower id)."""
+        """Label id with the highest cosine (ties → lower id); null for a null vector."""
         cs = self.scores(vec, "cosine", eps)
-        return F.element_at(self.label_ids(), F.array_position(cs, F.array_max(cs)).cast("int"))
+        return F.when(vec.isNotNull(), F.element_at(self.label_ids(), F.array_position(cs, F.array_max(cs)).cast("int")))
 
     def long_form(self, df: DataFrame, key: str, vec_col: str, kind: str = "cosine",
                   name: str = "score") -> DataFrame:

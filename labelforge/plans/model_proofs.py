@@ -20,8 +20,7 @@ def _binary(spark, d):
 def _fit(spark, d):
     b = _binary(spark, d)
     train = b.filter(F.col("split_name") == "train")
-    return b, MD.fit_text_classifier(train, "Abstract", "label", len(S.LABELS), num_features=1 << 16,
-                                     max_iter=10)
+    return b, MD.fit_text_classifier(train, "Abstract", "label", len(S.LABELS))
 
 
 @proof("fit_text_classifier")
@@ -54,8 +53,7 @@ def project_2d(spark, d):
 
 @proof("param_search")
 def param_search(spark, d):
-    b = _binary(spark, d).withColumn("y", F.col("label")[0])
+    b = _binary(spark, d)
     train = b.filter(F.col("split_name") == "train")
     valid = b.filter(F.col("split_name") == "validation")
-    trials = MD.draw_trials(MD.SearchSpace(max_iter=(3, 5)), n_trials=3, seed=42)
-    return MD.param_search(train, valid, "Abstract", "y", trials)
+    return MD.param_search(train, valid, "Abstract", "label", len(S.LABELS), MD.draw_trials(MD.SearchSpace(), n_trials=10))

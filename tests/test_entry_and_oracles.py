@@ -27,4 +27,4 @@ def test_query_matches_oracle_at_sf0001(spark, duck, name):
         problems, ns, nd = compare(spark, duck, QUERIES[name], ORACLES[name], SF001)
         assert not problems, problems
     else:
-        assert QUERIES[name](spark, SF001).count() >= 0
+        assert QUERIES[name](spark, SF001).count() > 0      # values: tests/test_models.py, tests/llm

@@ -71,6 +71,32 @@ def test_threshold_sweep_picks_best_cut(spark):
     assert (r.best_threshold, r.best_f1) == (0.3, 1.0)
 
 
+def test_threshold_sweep_tries_every_cut(spark):
+    def best(rows):
+        return M.threshold_sweep(spark.createDataFrame([([s], [y]) for s, y in rows], "logits array<double>, label array<double>"), 1).first()
+    r = best([(0.2, 1.0), (0.5, 1.0), (0.9, 1.0)])               # all positive: the cut below the lowest score
+    assert (r.best_threshold, r.best_f1) == (float("-inf"), 1.0)
+    r = best([(0.5004, 1.0), (0.4996, 0.0), (0.1, 0.0)])         # scores closer than three digits
+    assert (r.best_threshold, r.best_f1) == (0.4996, 1.0)
+    r = best([(None, 1.0), (float("nan"), 1.0), (0.7, 1.0), (0.2, 0.0)])
+    assert r.best_threshold == 0.2 and math.isclose(r.best_f1, 2 / 4)
+
+
+def test_loss_by_problem_type(spark):
+    multi = _scored(spark)
+    assert M.problem_type(multi) == "multi_label_classification" and M.loss(multi).first() == M.loss_bce(multi).first()
+    single = spark.createDataFrame([([1.0, 2.0, 0.5], 1)], "logits array<double>, label int")
+    assert M.problem_type(single) == "single_label_classification" and M.loss(single).first() == M.loss_ce(single).first()
+    number = spark.createDataFrame([(1.0, 2.0), (3.0, 3.5)], "logits double, label double")
+    assert M.problem_type(number) == "regression" and math.isclose(M.loss(number).first().loss, (1 + 0.25) / 2)
+
+
+def test_label_widths_are_checked(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        M.metric_by_name(spark.createDataFrame([([0.1], [1.0]), ([0.1, 0.9], [1.0, 0.0])], "logits array<double>, label array<double>"), "f1")
+
+
 def test_metric_by_name_dispatches_on_label_type(spark):
     multi = M.metric_by_name(_scored(spark), "f1").first()
     assert multi.problem_type == "multi_label_classification"

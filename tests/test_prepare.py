@@ -34,6 +34,41 @@ def test_binary_build_by_position_and_split_rules(spark):
     assert [(r.Split, r.n_dropped) for r in dropped] == [("train", 1)]
 
 
+def test_repeated_ids_equal_an_inner_join(spark, tmp_path):
+    abstracts, labels = _corpus(spark)
+    abstracts = abstracts.union(abstracts.where("PMID < 3")).union(
+        spark.createDataFrame([(1, "t1b", "another text")], abstracts.schema))      # PMID 1: 3 texts, two of them equal
+    labels = labels.union(labels.where("PMID = 1").withColumn("Has Human Subjects", F.lit(0.0)))   # PMID 1: 2 label rows
+    plain = prep.join_labels(abstracts, labels).where("Split IN ('Train', 'Validation', 'Test')")
+    built = prep.build_binary(abstracts, labels, CORPUS_SPEC)
+    cols = ["PMID", "Title", "Abstract", "Split", "Has Human Subjects"]
+    assert sorted(map(str, built.select(cols).collect())) == sorted(map(str, plain.select(cols).collect()))
+    assert built.where("PMID = 1").count() == 6
+    index = [r[prep.INDEX_COL] for r in built.collect()]
+    assert len(set(index)) == len(index)
+    paths = prep.build_all(abstracts, labels, labels, CORPUS_SPEC, f"file://{tmp_path}/all")
+    counts = {k: spark.read.parquet(p).count() for k, p in paths.items()}
+    assert counts == {"binary": plain.count(), "soft": plain.count(), "nli": 14 * plain.count()}
+
+
+def test_missing_splits_are_errors(spark):
+    df = spark.createDataFrame([(1, "train")], "id long, split string")
+    with pytest.raises(Exception, match="validation or test"):
+        prep.eval_split(df).collect()
+    with pytest.raises(Exception, match="no split"):
+        prep.split_alias(df, {"validation": "dev"}).collect()
+
+
+def test_heading_terms(spark):
+    df = spark.createDataFrame([(1, [("Asthma", ["drug therapy"], True)]), (2, [("Asthma", ["genetics"], True)]),
+                                (3, [("asthma", ["Drug Therapy"], False)]), (4, None)],
+                               "id long, mesh array<struct<name:string,qualifiers:array<string>,major:boolean>>")
+    terms = [("Asthma", "drug therapy")]
+    assert [r.id for r in prep.mesh_term_filter(df, "mesh", terms).collect()] == [1]
+    assert [r.id for r in prep.mesh_term_filter(df, "mesh", terms, major_only=False).collect()] == [1, 3]
+    assert [r.id for r in prep.mesh_term_filter(df, "mesh", [("asthma", None)]).collect()] == [1, 2]
+
+
 def test_nli_expansion_rows_and_negation(spark):
     abstracts, labels = _corpus(spark)
     b = prep.build_binary(abstracts, labels, CORPUS_SPEC, with_index=False)
@@ -70,6 +105,8 @@ def test_keyed_update_and_missing_ids(spark):
     upd = spark.createDataFrame([("1", "D1, D2"), ("3", "")], "id string, mesh string")
     out = {r.id: r.mesh for r in prep.keyed_update(target, upd, "id", "mesh").collect()}
     assert out == {"1": "D1, D2", "2": "old", "3": ""}
+    twice = spark.createDataFrame([("1", "x", 1), ("1", "y", 2), ("1", None, 3)], "id string, mesh string, at int")
+    assert {r.id: r.mesh for r in prep.keyed_update(target, twice, "id", "mesh", order="at").collect()} == {"1": "y", "2": "old", "3": None}
     miss = prep.missing_ids(target, upd, "id").collect()
     assert [r.id for r in miss] == ["2"]
 

@@ -94,6 +94,23 @@ def test_xml_records_parse_quarantine_and_fallback(spark):
     assert sorted(r.MeshID for r in H.mesh_long(good).collect()) == ["D1", "D2"]
 
 
+def test_repeated_and_bad_bodies(spark, tmp_path):
+    from labelforge.streaming.ingest import ingest_available
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "body.xml").write_text(XML.replace("<PMID>12</PMID><Article>", "<PMID>x12</PMID><Article><Abstract>t</Abstract>"))
+    recs = H.xml_records(H.read_bodies(spark, f"file://{tmp_path}/*"))
+    once = H.one_per_id(recs)
+    assert sorted(r.PubMedID for r in H.abstracts_from_records(once).collect()) == ["11", "x12"]
+    assert H.mesh_joined(once).count() == 2 and H.quarantine(recs)[1].count() == 2
+    for bounded in (True, False):
+        out = f"file://{tmp_path}/out{bounded}"
+        table = ingest_available(spark, f"file://{tmp_path}/[ab]", out, f"file://{tmp_path}/ckpt{bounded}", bounded_state=bounded)
+        assert [r.PMID for r in table.collect()] == [11]
+        bad = spark.read.parquet(f"{out}-quarantine").collect()
+        assert len(bad) == 2 and any("whole number" in r.error for r in bad)
+
+
 def test_request_text_optional_parts(spark):
     df = spark.createDataFrame([("1,2,3",)], "ids string")
     r = df.select(H.request_text(F.col("ids"), retmode="xml", rettype=None, retmax=250)).first()[0]

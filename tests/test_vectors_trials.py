@@ -73,11 +73,50 @@ def test_policy_parse_and_mutation_classes(spark):
     assert got == [("perturb_up", "perturb_down", 8), ("resample", "kept", 0)]
 
 
-def test_trial_report_skips_missing_names(spark):
+def test_trial_report_has_every_column(spark):
     df = spark.createDataFrame([("t", 1, 0.2, 0.9)], "trial_id string, training_iteration long, "
                                                       "eval_loss double, eval_f1_micro double")
     r = TR.trial_report(df, "multi_label_classification")
-    assert r.columns == ["trial_id", "training_iteration", "loss", "f1_micro"]
+    assert r.columns == ["trial_id", "training_iteration", "batch_size", "learning_rate", "weight_decay", "num_train_epochs",
+                         "loss", "f1_micro", "f1_macro", "precision_micro", "precision_macro", "recall_micro", "recall_macro"]
+    row = r.first()
+    assert (row.loss, row.f1_micro, row.precision_micro, row.batch_size) == (0.2, 0.9, None, None)
+
+
+def test_missing_scores_never_win(spark):
+    nan = float("nan")
+    rows = [("m", "a", 1, 0.9), ("m", "b", 2, nan), ("m", "c", 3, None), ("m", "d", 4, 0.2), ("n", "e", 1, nan)]
+    df = spark.createDataFrame(rows, "model string, trial_id string, timestamp long, objective double")
+    for mode, best in (("max", "a"), ("min", "d")):
+        got = {r.model: r for r in TR.best_trial(df, keep=["trial_id"], mode=mode).collect()}
+        assert got["m"].trial_id == best and got["n"].objective is None
+
+
+def test_running_best_on_any_partitioning(spark):
+    from labelforge.operators.positions import running_max_and_lag
+    nan = float("nan")
+    values = [1.0, nan, 0.5, None, 2.0, nan, 1.5]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "g string, i long, v double")
+    want = [(1.0, None), (1.0, 1.0), (1.0, None), (1.0, 0.5), (2.0, None), (2.0, 2.0), (2.0, None)]
+    for method in ("window", "arrow"):
+        for parts in (1, 2, 4):
+            out = running_max_and_lag(df, "g", ["i"], "v", num_partitions=parts, method=method).orderBy("i").collect()
+            assert [(r.best_so_far, r.prev_value) for r in out] == want, (method, parts)
+
+
+def test_widths_and_null_vectors(spark):
+    import pytest
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0]), (2, None)], "label int, v array<double>")
+    with pytest.raises(V.WidthError):
+        V.vector_dim(ragged, "v")
+    with pytest.raises(Exception, match="another width"):
+        V.label_prototypes(ragged, "v", "label", 2).collect()
+    protos = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "label_idx long, vec array<double>")
+    rows = spark.createDataFrame([(1, [3.0, 0.0]), (2, None)], "id long, v array<double>")
+    lm = V.LabelMatrix(protos)
+    assert {r.id: r.p for r in rows.select("id", lm.nearest(F.col("v")).alias("p")).collect()} == {1: 0, 2: None}
+    with pytest.raises(Exception, match="WidthError"):
+        ragged.select(lm.scores(F.col("v"))).collect()
 
 
 def test_arrow_and_sql_paths_agree_and_size_check(spark):
@@ -95,5 +134,10 @@ def test_arrow_and_sql_paths_agree_and_size_check(spark):
     assert a == b
     near = rows.select("id", lm.nearest(F.col("v")).alias("p")).collect()
     assert {r.id: r.p for r in near} == {1: 0, 2: 0, 3: 0}
+    # blocks of one label vector each score as one matrix does
+    blocks = V.LabelMatrix(protos, bias_col="b", block_bytes=16)
+    assert len(blocks._blocks) == 3
+    c = {(r.id, r.label_idx): round(r.score, 9) for r in blocks.long_form(rows, "id", "v", "attended").collect()}
+    assert c == a
     with pytest.raises(ValueError):
-        V.LabelMatrix(protos, max_labels=2)
+        V.folded_labels(protos, block_bytes=16)
