@@ -23,11 +23,10 @@ def join_groups(n, links):
 
 def edits(a, b):
     row = np.arange(len(b) + 1)
-    codes = np.array([ord(c) for c in b], dtype=np.int64)
     for i, c in enumerate(a, 1):
         new = np.empty_like(row)
         new[0] = i
-        new[1:] = np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)
+        new[1:] = np.minimum(row[:-1] + np.array([x != c for x in b], bool), row[1:] + 1)
         steps = np.arange(len(row))
         row = np.minimum.accumulate(new - steps) + steps
     return int(row[-1])
@@ -53,9 +52,9 @@ def removed_lines(docs, min_words=5, similarity=0.8, flips=3):
     for a in range(len(norms)):
         near = np.flatnonzero(np.bitwise_count(sims[a] ^ sims[a + 1:]) <= flips) + a + 1
         for b in near:
-            longest = max(len(norms[a]), len(norms[b]))
-            allowed = int(np.floor(round((1 - similarity) * longest, 6)))
-            if abs(len(norms[a]) - len(norms[b])) <= allowed and edits(norms[a], norms[b]) <= allowed:
+            x, y = norms[a].split(" "), norms[b].split(" ")
+            allowed = int(np.floor(round((1 - similarity) * max(len(x), len(y)), 6)))
+            if abs(len(x) - len(y)) <= allowed and edits(x, y) <= allowed:
                 links.append((a, int(b)))
     groups = defaultdict(list)
     for x, g in zip(norms, join_groups(len(norms), links)):
