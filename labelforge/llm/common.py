@@ -38,7 +38,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     start from files that survive a lost executor."""
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that no later step reads: intermediate
+    tables should not pile up while a job is still running."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -103,6 +113,20 @@ def map_batches(df: DataFrame, rows, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(df: DataFrame, hashed: Column, limit: int, *ties: str) -> DataFrame:
+    """``limit`` rows of lowest ``hashed`` value (a 64-bit hash), in that order.
+
+    A plain top-k sends k rows of every task to one; here all but about four
+    times ``limit`` rows are left out by their hash before that, whatever the
+    number of tasks.
+    """
+    scale = 1 << 40
+    share = min(scale, -(-4 * limit * scale // max(df.count(), 1)))
+    spread = df.withColumn("_hash", hashed)
+    low = F.shiftrightunsigned(F.col("_hash"), 24)          # the upper 40 bits, so the lowest values stay
+    return spread.withColumn("_high", low).where(F.col("_high") < share).orderBy("_high", "_hash", *ties).limit(limit).drop("_high", "_hash")
+
+
 def perhaps_in(df: DataFrame, col: Column, wanted: DataFrame, wanted_col: Column, bits: int = 1 << 24) -> DataFrame:
     """The rows of ``df`` whose ``col`` may be among ``wanted``: a filter before a wide shuffle.
 

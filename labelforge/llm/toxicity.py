@@ -16,7 +16,8 @@ given as categories directly.
   documented bound; everything else covers all rows). A text is held as the
   distinct 64-bit hashes of its words. A fit is one task per fold.
 * Each fit selects ``FEATURES`` words by chi-squared on its own rows.
-* The cutoff on the last probability has the best F1 on out-of-fold scores.
+* The cutoff on the last probability catches the most texts that out-of-fold
+  scores allow at a precision of ``PRECISION``, so clean texts are left alone.
 * Scoring is a vectorised UDF over whole texts; the model is a table of at
   most ``FEATURES`` times the number of categories weights.
 
@@ -38,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.llm.common import written
+from labelforge.llm.common import hash_sample, written
 
-SAMPLE_ROWS, FEATURES, FOLDS, PENALTY = 10_000, 512, 3, 1.0
+SAMPLE_ROWS, FEATURES, FOLDS, PENALTY, PRECISION = 10_000, 512, 3, 1.0, 0.95
 
 #: Words of the earlier categories (fixed values).
 CATEGORY_TERMS = {
@@ -121,15 +122,16 @@ def predict(model: dict, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
-    """The score with the best F1, halfway down to the next lower score; 0.5 without positives."""
-    if not y.sum():
-        return 0.5
+def best_cutoff(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The cutoff that catches most positives with at least ``precision``,
+    halfway down to the next lower score; 0.5 if no cutoff has it."""
     order = np.argsort(-p, kind="stable")
     hits, score = np.cumsum(y[order]), p[order]
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][score[:-1] == score[1:]] = -1            # equal scores fall together
-    best = int(np.argmax(f1))
+    good = hits >= precision * np.arange(1, len(y) + 1)
+    good[:-1] &= score[:-1] != score[1:]              # equal scores fall together
+    if not len(y) or not (good & (hits > 0)).any():
+        return 0.5
+    best = int(np.flatnonzero(good & (hits == hits[good].max()))[0])
     return float((score[best] + (score[best + 1] if best + 1 < len(score) else 0)) / 2)
 
 
@@ -137,9 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           terms: dict[str, Sequence[str]] = CATEGORY_TERMS, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> dict:
     """The chain: ``categories`` (names), ``models`` (one each, in order) and ``cutoff``."""
     names = [*terms, label]
-    spark = docs.sparkSession
-    marks = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-             .orderBy(F.xxhash64(key), key).limit(sample_rows))
+    marks = hash_sample(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y")),
+                        F.xxhash64(key), sample_rows, key)
 
     @F.pandas_udf("h binary, has array<boolean>")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -173,8 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 return pd.DataFrame({"id": [None], "earlier": [[]], "y": [0.0], "words": [model["words"].tolist()],
                                      "weights": [[*model["weights"], *model["chain"], model["bias"]]]})
             p = predict(model, [r for r, i in zip(rows, held) if i], earlier[held])
-            return pd.DataFrame({"id": given.id[held], "earlier": [[*e, v] for e, v in zip(earlier[held], p)],
-                                 "y": y[held], "words": None, "weights": None})
+            # plain lists in object columns, also where a fold is empty
+            lists = [[*map(float, e), float(v)] for e, v in zip(earlier[held], p)]
+            nothing = pd.Series([None] * len(lists), dtype=object)
+            return pd.DataFrame({"id": pd.Series(given.id[held].tolist(), dtype=object), "earlier": pd.Series(lists, dtype=object),
+                                 "y": pd.Series(y[held], dtype=float), "words": nothing, "weights": nothing})
 
         made = written(frame.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds)))).groupBy("fold")
                        .applyInPandas(fit_fold, "id string, earlier array<double>, y double, words array<long>, weights array<double>"),

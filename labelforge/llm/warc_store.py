@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.llm.common import map_batches, written
+from labelforge.llm.common import hash_sample, map_batches, written
 from labelforge.session import work_path
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -115,10 +115,9 @@ def train_dictionary(pages: DataFrame, key: str = "page_id", url: str = "url", h
     spread = F.xxhash64(F.col(key), F.col(url))
     start = F.lit(1) + F.pmod(spread, F.greatest(F.length(html) - SAMPLE_BYTES + 1, F.lit(1))).cast("int")
     # the start varies by row, so that bodies are learnt as well as openings
-    sample = (pages.select(spread.alias("_h"), F.col(key), F.col(url),
-                           F.coalesce(F.when(F.pmod(spread, F.lit(2)) == 0, F.substring(html, 1, SAMPLE_BYTES))
-                                      .otherwise(F.col(html).substr(start, F.lit(SAMPLE_BYTES))), F.lit("")).alias("_t"))
-              .orderBy("_h", key).limit(sample_records).drop("_h").coalesce(1))
+    piece = F.coalesce(F.when(F.pmod(spread, F.lit(2)) == 0, F.substring(html, 1, SAMPLE_BYTES))
+                       .otherwise(F.col(html).substr(start, F.lit(SAMPLE_BYTES))), F.lit(""))
+    sample = hash_sample(pages.select(key, url, piece.alias("_t")), F.xxhash64(F.col(key), F.col(url)), sample_records, key).coalesce(1)
 
     def train(given: Iterator[list]) -> Iterator[list]:
         import zstandard
