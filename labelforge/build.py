@@ -15,8 +15,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from labelforge.operators.prepare import build_all, label_dictionary_from
+from labelforge.operators.prepare import build_all
 from labelforge.schemas import ABSTRACT_SCHEMA, CORPUS_SPEC, LabelSpec, label_file_schema
+from labelforge.session import command_session
 from labelforge.sources.files import read_csv_table, write_label_manifest
 
 
@@ -32,11 +33,14 @@ def build_from_csv(spark: SparkSession, abstracts: str, binary_labels: str, soft
     if spec is None:
         spec = CORPUS_SPEC if labels == CORPUS_SPEC.labels else LabelSpec(labels=labels)
     schema = label_file_schema(labels)
-    abs_df = read_csv_table(spark, abstracts, ABSTRACT_SCHEMA)
-    bin_df = read_csv_table(spark, binary_labels, schema)
-    soft_df = read_csv_table(spark, soft_labels, schema)
-    paths = build_all(abs_df, bin_df, soft_df, spec, save_dir)
-    paths["labels"] = write_label_manifest(label_dictionary_from(bin_df, labels), f"{save_dir}/labels")
+    # the texts span lines, so their CSV is parsed by one task a file: parse it once
+    landed = f"{save_dir}/abstracts"
+    read_csv_table(spark, abstracts, ABSTRACT_SCHEMA).write.mode("overwrite").parquet(landed)
+    bin_df = read_csv_table(spark, binary_labels, schema, multi_line=False)
+    soft_df = read_csv_table(spark, soft_labels, schema, multi_line=False)
+    paths = build_all(spark.read.parquet(landed), bin_df, soft_df, spec, save_dir)
+    names = spark.createDataFrame(list(enumerate(labels)), "label_idx long, label_name string")
+    paths["labels"] = write_label_manifest(names, f"{save_dir}/labels")
     return paths
 
 
@@ -46,10 +50,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--binary_labels", required=True)
     ap.add_argument("--soft_labels", required=True)
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-build").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-build", args.work_dir)
     for name, path in build_from_csv(spark, args.abstracts, args.binary_labels,
                                      args.soft_labels, args.save_dir).items():
         print(f"{name}\t{path}")

@@ -22,6 +22,7 @@ from labelforge.functions.labels import argmax, decode_class, decode_multi_hot,
 from labelforge.functions.labels import threshold_scores
 from labelforge.operators import metrics as M
 from labelforge.operators.positions import with_row_index
+from labelforge.session import command_session
 from labelforge.sources import files as IO
 
 
@@ -48,12 +49,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--scores", required=True)
     ap.add_argument("--labels_file", required=True, help="label manifest (one name per line, in order)")
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     ap.add_argument("--key", default="row_id")
     ap.add_argument("--threshold", type=float, default=0.5)
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-evaluate").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-evaluate", args.work_dir)
     names = [r.label_name for r in IO.read_label_manifest(spark, args.labels_file).orderBy("label_idx").collect()]
     for name, path in evaluate(spark.read.parquet(args.scores), names, args.save_dir, args.key,
                                args.threshold).items():

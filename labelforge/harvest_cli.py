@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators import harvest as H
 from labelforge.operators.prepare import keyed_update
+from labelforge.session import command_session
 from labelforge.sources import files as IO
 
 
@@ -63,12 +64,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("command", choices=["plan", "ingest"])
     ap.add_argument("--ids", required=True)
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     ap.add_argument("--bodies")
     ap.add_argument("--batch_size", type=int, default=H.DEFAULT_BATCH_SIZE)
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-harvest").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-harvest", args.work_dir)
     if args.command == "plan":
         print(plan(spark, args.ids, args.save_dir, args.batch_size))
     else:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from labelforge.operators.trials import best_trial, read_trial_results
 from labelforge.schemas import TRIAL_RESULT_SCHEMA
+from labelforge.session import command_session
 
 
 def model_below(spark: SparkSession, root: str, path: Column) -> Column:
@@ -46,13 +47,12 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     ap.add_argument("--results_dir", required=True)
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     ap.add_argument("--metric", default="objective")
     ap.add_argument("--mode", default="max", choices=["max", "min"])
     ap.add_argument("--skip_dir", default=None)
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-select").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-select", args.work_dir)
     best = select_best(spark, args.results_dir, args.metric, args.mode, args.skip_dir)
     # one row per model: one small JSON file per model directory
     best.repartition("model").write.mode("overwrite").partitionBy("model").json(args.save_dir)

@@ -80,6 +80,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def command_session(app_name: str, work_dir: str | None = None) -> SparkSession:
+    """The session of a command line. The shared folder is ``work_dir``, else
+    the session's ``spark.checkpoint.dir``; a cluster without either is an
+    error before any work is done."""
+    spark = SparkSession.builder.appName(app_name).getOrCreate()
+    apply_defaults(spark)
+    if work_dir:
+        spark.sparkContext.setCheckpointDir(work_dir)
+    shared_dir(spark)
+    return spark
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared folder."""
     return f"{shared_dir(spark)}/labelforge-work/{name}-{uuid.uuid4().hex[:12]}"

@@ -20,9 +20,13 @@ CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
 
 
 # S1 / S10 -------------------------------------------------------------------
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header row and an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header row and an explicit schema (no inference pass).
+
+    ``multi_line`` is for values that span lines; such a file is one task. Turn
+    it off for tables without free text, which are then read in splits.
+    """
+    return spark.read.schema(schema).options(**CSV_OPTIONS | {"multiLine": str(multi_line).lower()}).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -64,7 +68,7 @@ def check_split_files(files: dict[str, str]) -> str:
     ext = _extension(files["train"])
     for split in ("validation", "test"):
         if split in files and FORMATS[_extension(files[split])] != FORMATS[ext]:
-            raise ValueError(f"`{split}_file` should be a {ext} file like `train_file`")
+            raise ValueError(f"the {split} file is no {ext} file, but the train file is")
     return FORMATS[ext]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from labelforge.evaluate import evaluate
 from labelforge.operators.models import fit_text_classifier
 from labelforge.operators.prepare import SPLIT_NAME, concat_text_columns, eval_split_name
+from labelforge.session import command_session
 from labelforge.sources import files as IO
 
 
@@ -46,12 +47,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--dataset", required=True)
     ap.add_argument("--labels_file", required=True)
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     ap.add_argument("--text_columns", default="Abstract")
     ap.add_argument("--max_iter", type=int, default=20)
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-train").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-train", args.work_dir)
     names = [r.label_name for r in IO.read_label_manifest(spark, args.labels_file).orderBy("label_idx").collect()]
     for name, path in train_and_evaluate(spark, args.dataset, names, args.save_dir,
                                          args.text_columns.split(","), max_iter=args.max_iter).items():

@@ -20,6 +20,7 @@ from labelforge.functions.text import token_set
 from labelforge.operators import metrics as M
 from labelforge.operators.models import nli_collapse, zero_shot_scores
 
+from labelforge.session import command_session
 from labelforge.sources import files as IO
 
 
@@ -49,11 +50,10 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     ap.add_argument("--dataset", required=True)
     ap.add_argument("--save_dir", required=True)
+    ap.add_argument("--work_dir", help="shared folder for intermediate tables (else spark.checkpoint.dir)")
     ap.add_argument("--split", default="test")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("labelforge-zero-shot").getOrCreate()
-    from labelforge.session import apply_defaults
-    apply_defaults(spark)
+    spark = command_session("labelforge-zero-shot", args.work_dir)
     for name, path in run(spark, args.dataset, args.save_dir, args.split).items():
         print(f"{name}\t{path}")
 
