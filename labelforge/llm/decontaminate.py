@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from labelforge.llm.common import map_batches
 
-N, SPACING, PENALTY, MIN_SCORE, BLOCK_WORDS = 3, 6, 0.5, 0.5, 500_000
+N, SPACING, PENALTY, MIN_SCORE, BLOCK_WORDS = 3, 3, 0.5, 0.5, 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
