@@ -116,6 +116,32 @@ def test_line_dedup_against_all_pairs(spark, docs):
     assert gone
 
 
+def test_edited_lines_are_found_by_similarity_alone(spark, monkeypatch):
+    """Every pair within the edit similarity, however far its SimHashes are apart; also with all keys refined."""
+    rng = np.random.default_rng(11)
+    lines = []
+    for n in (5, 7, 10, 14, 20, 33):
+        for _ in range(5):
+            base = [f"v{x}" for x in rng.integers(0, 60, n)]
+            lines.append(" ".join(base))
+            for _ in range(3):
+                copy = list(base)
+                for _ in range(int(rng.integers(1, n // 5 + 2))):
+                    at = int(rng.integers(0, len(copy)))
+                    copy[at:at + 1] = [[], [f"e{rng.integers(99)}"], [copy[at], f"v{rng.integers(60)}"]][int(rng.integers(3))]
+                lines.append(" ".join(copy))
+    lines += [" ".join("17" if i == a else "42" if i == b else "0" for i in range(9)) for a in range(9) for b in range(9) if a != b]
+    rows = list(enumerate(lines))
+    want, links = brute.removed_lines(rows, flips=64)
+    few, _ = brute.removed_lines(rows)
+    assert len(want) > len(few)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for big in (line_dedup.BIG, 1):
+        monkeypatch.setattr(line_dedup, "BIG", big)
+        got = {r.doc_id for r in line_dedup.report(df, flips=None).collect() if r.n_removed}
+        assert got == {i for i, _ in want}
+
+
 def test_simhash_of_very_long_lines(spark):
     lines = ["a b c d e f", " ".join(f"w{i % 211}" for i in range(20_000))]
     df = spark.createDataFrame([(i, x.split(" ")) for i, x in enumerate(lines)], "i long, w array<string>")
