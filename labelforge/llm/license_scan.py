@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from labelforge.llm.common import map_batches
-from labelforge.llm.license_texts import KNOWN, PAIRS, SPELLINGS
+from labelforge.llm.license_texts import DIGESTS, KNOWN, PAIRS, SPELLINGS
 
 MAX_KNOWN = 100_000
 _COPYRIGHT = re.compile(r"(?m)^[^\w\n]*(?:copyright\b(?=[^\n]*(?:\d{4}|\(c\)|©|<|\[))|\(c\)|©)[^\n]*$")
@@ -59,17 +59,18 @@ def digest(text: str | None) -> str | None:
     return hashlib.sha256(form.encode()).hexdigest() if form else None
 
 
-def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, key: str = "doc_id", text: str = "text",
+         digests_known: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
     """``key, digest, license, n_notices, notices`` of every document.
 
     ``license`` is the licence whose entire text the document is (else null);
     ``notices`` the distinct licences that one of its lines names, in order,
     comma-joined (else empty), and ``n_notices`` the number of such lines.
     """
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} known texts; the lookup table is bounded to {MAX_KNOWN}")
+    if len(known) + len(digests_known) > MAX_KNOWN:
+        raise ValueError(f"{len(known) + len(digests_known)} known texts; the lookup table is bounded to {MAX_KNOWN}")
     spark = docs.sparkSession
-    table = spark.createDataFrame(sorted({(digest(t), i) for i, t in known}), "_digest string, _license string")
+    table = spark.createDataFrame(sorted({(digest(t), i) for i, t in known} | {(d, i) for i, d in digests_known}), "_digest string, _license string")
     table = table.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_license").alias("_license"))
 
     def digests(given: Iterator[list]) -> Iterator[list]:

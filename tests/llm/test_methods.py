@@ -180,6 +180,18 @@ def test_licences_survive_spelling_and_layout(spark):
     assert got[4] == (None, 2, "CC-BY-NC-4.0,MIT")
 
 
+def test_long_licence_texts_and_usual_notices(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "MPL-2.0").exists():
+        pytest.skip("no licence texts here")
+    gpl = (folder / "GPL-3").read_text()
+    rows = [(1, (folder / "Apache-2.0").read_text()), (2, gpl), (3, gpl[:gpl.index("END OF TERMS")]), (4, (folder / "MPL-2.0").read_text()),
+            (5, "# SPDX-License-Identifier: LGPL-2.1-or-later\nThis project is licensed under the MIT License.")]
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == ["Apache-2.0", "GPL-3.0", "GPL-3.0", "MPL-2.0", None]
+    assert got[5][1] == "LGPL-2.1,MIT"
+
+
 def test_leaks_of_edited_copies(spark):
     item = "the quick onyx goblin jumps over a lazy dwarf while seven wizards mix their brew".split()
     edited = list(item)
