@@ -108,6 +108,17 @@ def test_hot_tokens_lose_nothing(spark, monkeypatch):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_long_runs_of_a_hot_token_are_cut(spark, monkeypatch):
+    """Each pair is counted for every token it shares, whichever cells it is in."""
+    monkeypatch.setattr(jaccard_join, "RUN", 16)
+    rows = [(g, t) for t, n in ((1, 200), (2, 75), (3, 9)) for g in range(n)]
+    cells = jaccard_join.pair_dense(spark.createDataFrame(rows, "gid long, token long"))
+    got = {(r.g1, r.g2): r.n for r in cells.groupBy("g1", "g2").agg(F.sum("shared").alias("n")).collect()}
+    assert got == {(a, b): 1 + (b < 75) + (b < 9) for b in range(200) for a in range(b)}
+    block = np.array([(5, 0, 1, k % 2, k) for k in range(40)])
+    assert sum(len(x) for x in jaccard_join._cells(block)) == 400
+
+
 def test_line_dedup_against_all_pairs(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("doc_id < 120").collect()]
     gone, links = brute.removed_lines(rows)
