@@ -2,8 +2,8 @@
 
 1. Seeds. The documents that hold each word n-gram of the test items are
    counted over the whole corpus. In every stretch of ``SPACING`` consecutive
-   n-grams of an item the rarest becomes a seed, so every part of an item has
-   a seed, however common its words or however often it has leaked.
+   n-grams of an item the rarest becomes a seed (of items under ``SHORT`` words
+   every n-gram, as few of them survive edits), so every part of an item has a seed, however common its words or however often it has leaked.
 2. Join. Every document is searched for every seed; a hit names an item and
    the place where the item would start.
 3. Alignment. Around each hit, if the stretch has enough of the item's words
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from labelforge.llm.common import map_batches
 
-N, SPACING, PENALTY, MIN_SCORE, BLOCK_WORDS = 3, 3, 0.5, 0.5, 500_000
+N, SPACING, PENALTY, MIN_SCORE, BLOCK_WORDS, SHORT = 3, 3, 0.5, 0.5, 500_000, 30
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -86,8 +86,9 @@ class Block:
         for k, t in enumerate(self.items):
             codes = self.grams(t)
             df = documents[self.find(codes, self.codes)] if len(codes) else codes
-            chosen = {min(range(i, min(i + SPACING, len(codes))), key=lambda j: (df[j], j))
-                      for i in range(max(len(codes) - SPACING + 1, min(len(codes), 1)))}
+            spacing = 1 if len(t) < SHORT else SPACING
+            chosen = {min(range(i, min(i + spacing, len(codes))), key=lambda j: (df[j], j))
+                      for i in range(max(len(codes) - spacing + 1, min(len(codes), 1)))}
             for j in sorted(chosen):
                 seeds.setdefault(int(codes[j]), []).append((k, j))
         self.seeds = np.array(sorted(seeds), np.int64)

@@ -218,6 +218,19 @@ def test_leaks_of_edited_copies(spark):
     assert many.where("size(leaks) > 0").count() == 2
 
 
+def test_short_items_are_found_by_any_whole_n_gram():
+    """Every third n-gram is the rarest around it; an edit in each leaves other n-grams whole and a score above the limit."""
+    item = [f"w{i:02}" for i in range(15)]
+    copy = [f"x{i}" if i in (0, 4, 8, 11, 14) else w for i, w in enumerate(item)]
+    block = decontaminate.Block([(1, " ".join(item))])
+    documents = np.full(len(block.codes), 5)
+    documents[block.find(block.grams(block.items[0])[::3], block.codes)] = 1
+    block.choose_seeds(documents)
+    score = plain_alignment(item, copy) / len(item)
+    assert score >= decontaminate.MIN_SCORE
+    assert decontaminate.leaks_of(block, [" ".join(copy)]) == [[(1, round(score, 6))]]
+
+
 def plain_alignment(a, b, penalty=0.5):
     row, best = [0.0] * (len(b) + 1), 0.0
     for x in a:
