@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``written`` that no later step reads: intermediate
     tables should not pile up while a job is still running."""

@@ -40,20 +40,28 @@ def simhash(norm):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(words))
 
 
-def removed_lines(docs, min_words=5, similarity=0.8, flips=3):
-    """docs: (id, text). {(id, text): sorted numbers of the removed lines}."""
+def share_block(x, bits, blocks=8):
+    """Whether two SimHashes with the differing bits ``x`` share a block of ``bits`` bits, blocks being cut around the circle."""
+    step = 64 // blocks
+    return any((x >> step * k | x << 64 - step * k) & (1 << bits) - 1 == 0 for k in range(blocks))
+
+
+def removed_lines(docs, min_words=5, similarity=0.8, flips=None, bits=None):
+    """docs: (id, text). {(id, text): sorted numbers of the removed lines}. With ``bits``, pairs must share a block and lie within ``flips``."""
     where = defaultdict(set)
     for ident, text in docs:
         for i, line in enumerate((text or "").split("\n")):
             norm = re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
-            if norm and norm.count(" ") >= min_words - 1:
+            if norm:
                 where[norm].add((ident is not None, ident or 0, ident, text, i))
     norms = sorted(where)
-    sims = np.array([simhash(x) for x in norms], np.uint64)
+    long = [i for i, x in enumerate(norms) if x.count(" ") >= min_words - 1]
+    sims = {i: simhash(norms[i]) for i in long} if bits else {}
     links = []
-    for a in range(len(norms)):
-        near = np.flatnonzero(np.bitwise_count(sims[a] ^ sims[a + 1:]) <= flips) + a + 1
-        for b in near:
+    for k, a in enumerate(long):
+        for b in long[k + 1:]:
+            if bits and ((sims[a] ^ sims[b]).bit_count() > flips or not share_block(sims[a] ^ sims[b], bits)):
+                continue
             x, y = norms[a].split(" "), norms[b].split(" ")
             allowed = int(np.floor(round((1 - similarity) * max(len(x), len(y)), 6)))
             if abs(len(x) - len(y)) <= allowed and edits(x, y) <= allowed:

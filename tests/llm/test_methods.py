@@ -119,16 +119,22 @@ def test_long_runs_of_a_hot_token_are_cut(spark, monkeypatch):
     assert sum(len(x) for x in jaccard_join._cells(block)) == 400
 
 
+def said_of(gone, rows):
+    return {i: ",".join(map(str, gone.get((i, t), []))) for i, t in rows}
+
+
 def test_line_dedup_against_all_pairs(spark, docs):
+    """The query's parameters: the same lines as by comparing all pairs that share a block; and all pairs, for the exact way."""
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("doc_id < 120").collect()]
-    gone, links = brute.removed_lines(rows)
-    got = {r.doc_id: r.removed for r in line_dedup.report(docs.where("doc_id < 120")).collect()}
-    assert got == {i: ",".join(map(str, gone.get((i, t), []))) for i, t in rows}
-    assert gone
+    some = docs.where("doc_id < 120")
+    gone, links = brute.removed_lines(rows, flips=line_dedup.FLIPS, bits=line_dedup.LEAST_BITS)
+    assert {r.doc_id: r.removed for r in line_dedup.report(some).collect()} == said_of(gone, rows)
+    every, more = brute.removed_lines(rows)
+    assert {r.doc_id: r.removed for r in line_dedup.report(some, exact=True).collect()} == said_of(every, rows)
+    assert gone and len(links) >= 0.9 * len(more)
 
 
-def test_edited_lines_are_found_by_similarity_alone(spark, monkeypatch):
-    """Every pair within the edit similarity, however far its SimHashes are apart; also with all keys refined."""
+def edited_lines():
     rng = np.random.default_rng(11)
     lines = []
     for n in (5, 7, 10, 14, 20, 33):
@@ -142,21 +148,48 @@ def test_edited_lines_are_found_by_similarity_alone(spark, monkeypatch):
                     copy[at:at + 1] = [[], [f"e{rng.integers(99)}"], [copy[at], f"v{rng.integers(60)}"]][int(rng.integers(3))]
                 lines.append(" ".join(copy))
     lines += [" ".join("17" if i == a else "42" if i == b else "0" for i in range(9)) for a in range(9) for b in range(9) if a != b]
-    rows = list(enumerate(lines))
-    want, links = brute.removed_lines(rows, flips=64)
-    few, _ = brute.removed_lines(rows)
-    assert len(want) > len(few)
+    return list(enumerate(lines))
+
+
+def test_edited_lines_are_found_by_the_exact_way(spark, monkeypatch):
+    """Every pair within the edit similarity, however far its SimHashes are apart; also with all keys refined."""
+    rows = edited_lines()
+    want, links = brute.removed_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for big in (line_dedup.BIG, 1):
         monkeypatch.setattr(line_dedup, "BIG", big)
-        got = {r.doc_id for r in line_dedup.report(df, flips=None).collect() if r.n_removed}
+        got = {r.doc_id for r in line_dedup.report(df, exact=True).collect() if r.n_removed}
         assert got == {i for i, _ in want}
 
 
+def test_hot_blocks_lose_nothing(spark, monkeypatch):
+    """With every key called hot, pairs come from the star and the rest outside its groups."""
+    rows = edited_lines()
+    want, _ = brute.removed_lines(rows, flips=line_dedup.FLIPS, bits=line_dedup.LEAST_BITS)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dense in (line_dedup.DENSE, 1):
+        monkeypatch.setattr(line_dedup, "DENSE", dense)
+        assert {r.doc_id for r in line_dedup.report(df).collect() if r.n_removed} == {i for i, _ in want}
+
+
+def test_short_lines_are_linked_by_equality(spark):
+    rows = [(1, "All rights reserved"), (2, "all rights RESERVED!\nmore"), (3, "All rights reserve"), (4, "--\n***"), (5, "--\n***"), (6, "more\nMore")]
+    out = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "", 2: "0", 3: "", 4: "", 5: "", 6: "0,1"}
+
+
+def test_edits_are_counted_on_the_words(spark, monkeypatch):
+    """Words whose codes are equal are still different words."""
+    monkeypatch.setattr(line_dedup, "coded", lambda words: F.lpad(F.lit(""), F.size(words), "x"))
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h k l"), (3, "a b c d e f g x y z"), (4, "a b c d e f g h i j j")]
+    out = {r.doc_id: r.n_removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_simhash_of_very_long_lines(spark):
-    lines = ["a b c d e f", " ".join(f"w{i % 211}" for i in range(20_000))]
-    df = spark.createDataFrame([(i, x.split(" ")) for i, x in enumerate(lines)], "i long, w array<string>")
-    got = {r.i: r.sim % 2**64 for r in line_dedup.with_simhash(df, "w", "sim").collect()}
+    lines = ["a b c d e f", " ".join(f"w{i % 211}" for i in range(20_000)), " ".join(f"w{i % 311}" for i in range(40_000)), "a"]
+    df = spark.createDataFrame([(i, x.split(" "), x.count(" ") + 1) for i, x in enumerate(lines)], "i long, w array<string>, size int")
+    got = {r.i: r.sim % 2**64 for r in line_dedup.with_sketches(df, "w", "size").collect()}
     assert got == {i: brute.simhash(x) for i, x in enumerate(lines)}
 
 
