@@ -3,7 +3,8 @@
 1. Seeds. The documents that hold each word n-gram of the test items are
    counted over the whole corpus. In every stretch of ``SPACING`` consecutive
    n-grams of an item the rarest becomes a seed (of items under ``SHORT`` words
-   every n-gram, as few of them survive edits), so every part of an item has a seed, however common its words or however often it has leaked.
+   every n-gram, as few of them survive edits), so every part of an item has a
+   seed, however common its words or however often it has leaked.
 2. Join. Every document is searched for every seed; a hit names an item and
    the place where the item would start.
 3. Alignment. Around each hit, if the stretch has enough of the item's words
@@ -13,14 +14,14 @@
    and paraphrased copies count as well as exact ones.
 
 The test items are read in blocks of about ``BLOCK_WORDS`` words, each a
-bounded table sent to the tasks; a larger benchmark takes more passes, never a
-larger broadcast. Documents are not shuffled; only counts of n-grams are
+bounded table sent to the tasks; a larger benchmark takes more passes, one block
+live at a time, never a larger broadcast. Documents are not shuffled; only counts of n-grams are
 (combined per batch). A leak in a third of all documents costs one alignment
 per document.
 
 Edge cases: null and empty texts have no leaks; items without ``N`` words
-cannot be told from chance and match nothing; null item ids are left out;
-items with equal texts match alike; repeated rows give repeated results; empty
+cannot be told from chance and match nothing; null item ids are searched like
+others and come out as null; rows that repeat id and text are one item, items with equal texts match alike; repeated rows give repeated results; empty
 tables give empty results; documents keep all their columns.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.llm.common import map_batches
+from labelforge.llm.common import map_batches, spare_name, written
 
 N, SPACING, PENALTY, MIN_SCORE, BLOCK_WORDS, SHORT = 3, 3, 0.5, 0.5, 500_000, 30
 _WORD = re.compile(r"[^\W_]+")
@@ -150,46 +151,72 @@ def leaks_of(block: Block, texts: list[str | None], min_score: float = MIN_SCORE
 
 
 def blocks_of(items: DataFrame, key: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The test items, one bounded block after the other."""
-    named = items.where(F.col(key).isNotNull()).select(key, F.coalesce(text, F.lit("")).alias("_t"))
+    """The distinct test items, one bounded block after the other; null ids are searched like others."""
+    named = items.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).distinct()
     total = named.agg(F.sum(F.length("_t"))).first()[0] or 0
     count = max(1, -(-total // (5 * block_words)))      # words are about five characters or more
-    part = F.pmod(F.xxhash64(key), F.lit(count))
+    part = F.pmod(F.xxhash64("_k", "_t"), F.lit(count))  # the items of one id are spread, too
     for k in range(count):
-        yield Block([(r[0], r[1]) for r in named.where(part == k).orderBy(key, "_t").collect()])
+        yield Block([(r[0], r[1]) for r in named.where(part == k).orderBy("_k", "_t").collect()])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                column: str = "leaks", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``column``: an array of (item_id, score), empty for clean documents."""
+    """``docs`` with ``column``: an array of (item_id, score), empty for clean documents.
+
+    Of a benchmark of several blocks one is in memory at a time: the hits of each
+    block are written by the hash of their text and joined to the documents at the end.
+    """
     schema = T.ArrayType(T.StructType([T.StructField("item_id", items.schema[item_key].dataType), T.StructField("score", T.DoubleType())]))
-    found = []
+    hits, leaks = [], None
     for block in blocks_of(items, item_key, item_text, block_words):
-        def count(given: Iterator[list], block: Block = block) -> Iterator[list]:
-            for batch in given:
-                seen = np.zeros(len(block.codes), np.int64)
-                for (t,) in batch:
-                    at = block.find(block.grams(block.numbers(t)), block.codes)
-                    seen[np.unique(at[at >= 0])] += 1
-                yield [(int(k), int(seen[k])) for k in np.flatnonzero(seen)]
-
-        counts = (map_batches(docs.select(text), count, T.StructType.fromDDL("k int, n long"))
-                  .groupBy("k").agg(F.sum("n").alias("n")).collect())       # one row an n-gram of the block
-        documents = np.zeros(len(block.codes), np.int64)
-        for r in counts:
-            documents[r.k] = r.n
-        block.choose_seeds(documents)
-
-        def search(block: Block):
-            @F.pandas_udf(schema)
-            def leaks(texts: pd.Series) -> pd.Series:
-                made = []
-                for i in range(0, len(texts), 500):
-                    made += leaks_of(block, [None if t is None else t for t in texts.iloc[i:i + 500]], min_score)
-                return pd.Series([[{"item_id": k, "score": s} for k, s in one] for one in made])
-            return leaks
-        found.append(search(block)(F.col(text)))
-    return docs.withColumn(column, F.concat(*found))
+        if leaks is not None:
+            hits.append(_hits(docs, text, leaks))
+        leaks = _search(docs, block, text, schema, min_score)
+    if not hits:
+        return docs.withColumn(column, leaks(F.col(text)))
+    hits.append(_hits(docs, text, leaks))
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    mark = spare_name(docs, "_leak_hash")
+    every = every.groupBy("h").agg(F.flatten(F.collect_list("l")).alias(column)).withColumnRenamed("h", mark)      # a text's items
+    found = docs.withColumn(mark, F.md5(text)).join(every, mark, "left").drop(mark)
+    return found.withColumn(column, F.coalesce(F.col(column), F.array().cast(schema)))
+
+
+def _hits(docs: DataFrame, text: str, leaks) -> DataFrame:
+    """``h, l``: the leaks of the texts that have any, a row a text."""
+    found = docs.select(F.md5(text).alias("h"), leaks(F.col(text)).alias("l")).where(F.size("l") > 0)
+    return written(found.groupBy("h").agg(F.first("l").alias("l")), "leak-hits")
+
+
+def _search(docs: DataFrame, block: Block, text: str, schema: T.ArrayType, min_score: float):
+    """The function that finds a block's items in texts; its seeds are chosen by the n-grams' counts over all documents."""
+
+    def count(given: Iterator[list]) -> Iterator[list]:
+        seen = np.zeros(len(block.codes), np.int64)
+        for batch in given:
+            for (t,) in batch:
+                at = block.find(block.grams(block.numbers(t)), block.codes)
+                seen[np.unique(at[at >= 0])] += 1
+        yield [(int(k), int(seen[k])) for k in np.flatnonzero(seen)]
+
+    counts = (map_batches(docs.select(text), count, T.StructType.fromDDL("k int, n long"))
+              .groupBy("k").agg(F.sum("n").alias("n")).collect())           # one row an n-gram of the block
+    documents = np.zeros(len(block.codes), np.int64)
+    for r in counts:
+        documents[r.k] = r.n
+    block.choose_seeds(documents)
+
+    @F.pandas_udf(schema)
+    def leaks(texts: pd.Series) -> pd.Series:
+        made = []
+        for i in range(0, len(texts), 500):
+            made += leaks_of(block, [None if t is None else t for t in texts.iloc[i:i + 500]], min_score)
+        return pd.Series([[{"item_id": k, "score": s} for k, s in one] for one in made])
+
+    return leaks
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,15 +123,18 @@ def predict(model: dict, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndar
 
 
 def best_cutoff(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The cutoff that catches most positives with at least ``precision``,
-    halfway down to the next lower score; 0.5 if no cutoff has it."""
+    """The cutoff that catches most positives with at least ``precision``, halfway
+    down to the next lower score. A small sample may have none: then the cutoff of
+    the best F-measure; 0.5 without positives."""
     order = np.argsort(-p, kind="stable")
     hits, score = np.cumsum(y[order]), p[order]
     good = hits >= precision * np.arange(1, len(y) + 1)
-    good[:-1] &= score[:-1] != score[1:]              # equal scores fall together
-    if not len(y) or not (good & (hits > 0)).any():
+    last = np.ones(len(y), bool)
+    last[:-1] = score[:-1] != score[1:]               # equal scores fall together
+    if not len(y) or not hits[-1]:
         return 0.5
-    best = int(np.flatnonzero(good & (hits == hits[good].max()))[0])
+    measure = np.where(good, hits, 0) if (good & last & (hits > 0)).any() else 2 * hits / (np.arange(1, len(y) + 1) + hits[-1])
+    best = int(np.argmax(np.where(last, measure, -1)))
     return float((score[best] + (score[best + 1] if best + 1 < len(score) else 0)) / 2)
 
 
