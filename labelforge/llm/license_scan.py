@@ -87,7 +87,8 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, key: str = "
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, _raw string, digest string, _lines long"
     seen = map_batches(docs.select(key, text), digests, StructType.fromDDL(schema))
     whole = F.col("_lines").isNull()
-    hits = (seen.join(table.withColumnRenamed("_digest", "digest"), "digest", "left")
+    # the table has at most MAX_KNOWN rows: it goes to the tasks, and only hits and a row a document are moved
+    hits = (seen.join(F.broadcast(table.withColumnRenamed("_digest", "digest")), "digest", "left")
             .where(whole | F.col("_license").isNotNull()))
     merged = hits.groupBy(key, "_raw").agg(
         F.count(F.when(whole, 1)).alias("_rows"), F.max(F.when(whole, F.col("digest"))).alias("digest"),

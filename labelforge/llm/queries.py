@@ -126,7 +126,7 @@ def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.read_archives(manifest, folder).drop("url", "payload")
 
 
-def _op1_sql(rounds: int = 20, damping: float = 0.85) -> str:
+def _op1_sql(rounds: int = 40, damping: float = 0.85) -> str:
     """The same rules and walks; each round of the walk is one step of the CTE chain."""
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
 
@@ -152,10 +152,11 @@ e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT src,
 steps AS MATERIALIZED (SELECT src AS host, dst AS "to", weight / sum(weight) OVER (PARTITION BY src) AS t, 0.0::DOUBLE AS d FROM e UNION ALL
   SELECT dst, src, 0.0::DOUBLE, weight / sum(weight) OVER (PARTITION BY dst) FROM e),
 r0 AS MATERIALIZED (SELECT host, {1 - damping} * avg((said = 'allow')::INT) AS trust, {1 - damping} * avg((said = 'block')::INT) AS distrust
-  FROM q WHERE said IS NOT NULL GROUP BY host){chain}
+  FROM q WHERE said IS NOT NULL GROUP BY host){chain},
+z AS (SELECT host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0) AS trust, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0) AS distrust FROM r{rounds})
 SELECT page_id, q.host, path, rule, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust,
-  coalesce(said, CASE WHEN round(coalesce(distrust, 0), 9) > round(coalesce(trust, 0), 9) THEN 'block' ELSE 'allow' END) AS verdict
-FROM q LEFT JOIN r{rounds} r ON q.host = r.host"""
+  coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN z ON q.host = z.host"""
 
 
 @query("op1_url_filter", _op1_sql())

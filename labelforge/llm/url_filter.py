@@ -71,11 +71,13 @@ def host_edges(pages: DataFrame, host: str = "_host", html: str = "_html") -> Da
             .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20,
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 400,
               tolerance: float = 1e-7) -> DataFrame:
-    """``host, trust, distrust`` of every host that either walk reaches.
+    """``host, trust, distrust`` of every host that either walk reaches; each walk adds up to 1.
 
-    ``edges``: src, dst, weight. ``seeds``: host, good, bad.
+    ``edges``: src, dst, weight. ``seeds``: host, good, bad. The walks go on until
+    a round moves less than ``tolerance`` of the seeds' mass; not getting there in
+    ``rounds`` is an error, never a silent cut.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("_in"))
@@ -90,8 +92,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     start = seeds.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
     start = start.checkpoint()
     ranks = start
-    if steps.isEmpty():
-        return ranks
+    mass = start.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0
+    if mass == 0 or steps.isEmpty():
+        return _shares(ranks)
     for _ in range(rounds):
         flow = (ranks.join(steps, "host")
                 .groupBy(F.col("to").alias("host"))
@@ -105,13 +108,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
                 .agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "old_t", "old_d")]).checkpoint())
         ranks = both.select("host", "trust", "distrust")
         moved = both.agg(F.sum(F.abs(F.col("trust") - F.col("old_t")) + F.abs(F.col("distrust") - F.col("old_d")))).first()[0]
-        if moved is not None and moved < tolerance:
-            break
-    return ranks
+        if moved < tolerance * mass:
+            return _shares(ranks)
+    raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
+
+
+def _shares(ranks: DataFrame) -> DataFrame:
+    """Both walks as shares of their sum: what dangling hosts lose differs between them."""
+    totals = ranks.agg(F.sum("trust"), F.sum("distrust")).first()
+    return ranks.select("host", *[F.col(c) / F.lit(t) if t else F.lit(0.0).alias(c) for c, t in zip(("trust", "distrust"), totals)]).toDF("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-          rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 20, ratio: float = 1.0) -> DataFrame:
+          rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 400, ratio: float = 1.0) -> DataFrame:
     """``key, host, path, rule, verdict, trust, distrust`` of every row.
 
     ``trust`` and ``distrust`` are the host's scores, rounded to 9 digits (0
@@ -131,10 +140,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
              .agg(F.avg((F.col("_said") == "allow").cast("double")).alias("good"),
                   F.avg((F.col("_said") == "block").cast("double")).alias("bad")))
     edges = written(host_edges(named.withColumnRenamed("host", "_host")), "host-edges")
-    scores = propagate(edges, votes, damping, rounds).select(
-        "host", F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust"))
+    scores = propagate(edges, votes, damping, rounds)
     return (ruled.drop("_html").join(scores, "host", "left")
             .withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
             .select(key, "host", "path", "rule", F.coalesce(
                 "_said", F.when(F.col("distrust") > ratio * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-                "trust", "distrust"))
+                F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust")))

@@ -299,11 +299,23 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     edges = spark.createDataFrame([("good", "friend", 2.0), ("good", "other", 1.0), ("shady", "bad", 1.0), ("friend", "good", 1.0)],
                                   "src string, dst string, weight double")
     seeds = spark.createDataFrame([("good", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, good double, bad double")
-    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(edges, seeds, rounds=60, tolerance=1e-12).collect()}
-    trust = {"good": 0.15 / (1 - 0.85 ** 2 * 2 / 3)}
-    assert got["good"][0] == pytest.approx(trust["good"], rel=1e-6)
-    assert got["friend"][0] == pytest.approx(0.85 * 2 / 3 * trust["good"], rel=1e-6)
-    assert got["shady"] == pytest.approx((0.0, 0.85 * 0.15)) and got["bad"][0] == 0
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(edges, seeds, tolerance=1e-12).collect()}
+    good = 0.15 / (1 - 0.85 ** 2 * 2 / 3)
+    trust = good * (1 + 0.85 * 2 / 3 + 0.85 / 3)             # both walks are shares of their sum
+    assert got["good"][0] == pytest.approx(good / trust, rel=1e-6)
+    assert got["friend"][0] == pytest.approx(0.85 * 2 / 3 * good / trust, rel=1e-6)
+    assert got["shady"] == pytest.approx((0.0, 0.85 / 1.85)) and got["bad"] == pytest.approx((0.0, 1 / 1.85))
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, seeds, rounds=5, tolerance=1e-12)
+
+
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    """Longer than any number of rounds that was fixed before."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(45)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h45", 0.0, 1.0)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in url_filter.propagate(edges, seeds).collect()}
+    assert set(got) == {f"h{i}" for i in range(46)} and all(got[f"h{i}"] > 0 for i in range(46))
+    assert got["h0"] == pytest.approx(got["h45"] * 0.85 ** 45)
 
 
 def test_links_block_a_host(spark):
