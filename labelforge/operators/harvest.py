@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 
 from labelforge.operators.positions import with_batch_id
 
-RECORD_PATTERN = r"(?s)<PubmedArticle>.*?</PubmedArticle>"
+RECORD_END = "</PubmedArticle>"
+#: From a start tag (with or without attributes) to the record's end, or to where the next one starts or the body ends:
+#: a record that was cut off comes out too, and is quarantined when it is parsed.
+RECORD_PATTERN = rf"(?s)<PubmedArticle(?=[\s/>])[^>]*>.*?(?:{RECORD_END}|(?=<PubmedArticle[\s/>])|\z)"
 ABSTRACT_MISSING = "Abstract not available"
 
 # ---------------------------------------------------------------------------
@@ -82,8 +85,23 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
                  .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 
+def read_body_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Bodies of any size in splits: (path, body), a row for each record end.
+
+    The record's end tag is the line separator, so a task reads a part of a file
+    and a row holds one record with what stands before it. The end tag is put
+    back where a start tag precedes it; what follows the last record of a body
+    has none, so a record cut off there stays cut off.
+    """
+    raw = spark.read.option("lineSep", RECORD_END).text(path)
+    starts = F.col("value").rlike(r"<PubmedArticle[\s/>]")
+    # a body whose last record is cut off ends without the separator: it parses to an error with the end tag, too
+    return raw.select(F.col("_metadata.file_path").alias("path"),
+                      F.when(starts, F.concat("value", F.lit(RECORD_END))).otherwise(F.col("value")).alias("body"))
+
+
 def xml_records(bodies: DataFrame, body_col: str = "body") -> DataFrame:
-    """One row per ``<PubmedArticle>`` element, raw text kept."""
+    """One row per start tag of a ``PubmedArticle``, raw text kept: whole records, and what there is of cut-off ones."""
     return (bodies.select("*", F.explode(F.regexp_extract_all(F.col(body_col), F.lit(RECORD_PATTERN), 0))
                           .alias("record"))
                   .drop(body_col))
@@ -92,13 +110,22 @@ def xml_records(bodies: DataFrame, body_col: str = "body") -> DataFrame:
 RECORD_FIELDS = T.StructType([
     T.StructField("pmid", T.StringType()), T.StructField("has_abstract", T.BooleanType()),
     T.StructField("abstract", T.StringType()), T.StructField("mesh", T.ArrayType(T.StringType())),
+    T.StructField("headings", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("qualifiers", T.ArrayType(T.StringType())), T.StructField("major", T.BooleanType())]))),
     T.StructField("error", T.StringType())])
 PARSED = "_lf_parsed"
 
 
+def heading_fields(heading: ET.Element) -> dict:
+    """Topic, qualifiers, and whether the topic or one of its qualifiers is a major one."""
+    topic, qualifiers = heading.find("DescriptorName"), heading.findall("QualifierName")
+    return {"name": None if topic is None else topic.text, "qualifiers": [q.text for q in qualifiers],
+            "major": any(x is not None and x.get("MajorTopicYN") == "Y" for x in (topic, *qualifiers))}
+
+
 def record_fields(record: str | None) -> dict:
     """One parse of a raw record: the first id, every text node under Abstract
-    joined by one space (blanks kept), the descriptor ids of its headings; or
+    joined by one space (blanks kept), its headings and their descriptor ids; or
     the error that keeps it out."""
     out = dict.fromkeys(RECORD_FIELDS.names)
     try:
@@ -111,6 +138,7 @@ def record_fields(record: str | None) -> dict:
     found = root.findall("MedlineCitation/Article/Abstract")
     return {"pmid": pmid.text, "has_abstract": bool(found),
             "abstract": " ".join(t for a in found for t in a.itertext()) if found else None,
+            "headings": [heading_fields(h) for h in root.iterfind(".//MeshHeading")],
             "mesh": [h.get("UI") for h in root.iterfind(".//MeshHeading/DescriptorName") if h.get("UI") is not None],
             "error": None}
 
@@ -190,18 +218,18 @@ def harvest_ledger(planned: DataFrame, received: DataFrame, key: str,
 
 
 # Fixture side: render records as a records service would return them -------
-def _xml_escape(c: Column) -> Column:
+def xml_escape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
 
 def render_xml_record(pmid: Column, abstract: Column | None, mesh: list[Column]) -> Column:
     """One ``<PubmedArticle>``; the Abstract element is left out when
     ``abstract`` is null."""
-    heads = [F.concat(F.lit('<MeshHeading><DescriptorName UI="'), _xml_escape(m),
-                      F.lit('">'), _xml_escape(m), F.lit("</DescriptorName></MeshHeading>"))
+    heads = [F.concat(F.lit('<MeshHeading><DescriptorName UI="'), xml_escape(m),
+                      F.lit('">'), xml_escape(m), F.lit("</DescriptorName></MeshHeading>"))
              for m in mesh]
     abstract_el = F.when(abstract.isNotNull(), F.concat(
-        F.lit("<Abstract><AbstractText>"), _xml_escape(abstract),
+        F.lit("<Abstract><AbstractText>"), xml_escape(abstract),
         F.lit("</AbstractText></Abstract>"))).otherwise(F.lit(""))
     return F.concat(
         F.lit("<PubmedArticle><MedlineCitation><PMID>"), pmid.cast("string"), F.lit("</PMID><Article>"),

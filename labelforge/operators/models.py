@@ -5,7 +5,7 @@ projection of embeddings and a seeded hyper-parameter search."""
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,11 +136,11 @@ def tfidf_cosine(pairs: DataFrame, premise: str = "Abstract", hypothesis: str =
 
 def zero_shot_scores(pairs: DataFrame, premise: str = "Abstract", hypothesis: str = "Hypothesis",
                      label: str = "Entailment", premise_set: str | None = None,
-                     scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                     scorer: Callable[[DataFrame], DataFrame] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Pair scores s in 0..1; logits [1 - s, s]; entailment = argmax (ties → not
     entailed). ``scorer`` takes the pairs and adds a ``score`` column, e.g.
     ``tfidf_cosine`` or a wrapped model; the built-in one is the share of
-    hypothesis tokens found in the premise.
+    hypothesis tokens found in the premise. ``keep``: further columns to carry.
 
     Pass ``premise_set`` (a column of ``token_set(premise)`` computed before
     the hypothesis expansion) so a premise is tokenised once, not once per
@@ -152,7 +152,7 @@ def zero_shot_scores(pairs: DataFrame, premise: str = "Abstract", hypothesis: st
         p = F.col(premise_set) if premise_set else token_set(F.col(premise))
         staged = pairs.withColumn("_lf_h", token_set(F.col(hypothesis)))
         s = overlap_score_sets(p, F.col("_lf_h"))
-    out = staged.select("PMID", "Label_idx", "Positive", F.col(label).alias("label"), s.alias("score"))
+    out = staged.select("PMID", *keep, "Label_idx", "Positive", F.col(label).alias("label"), s.alias("score"))
     return out.withColumn("pred", F.when(F.col("score") > 1 - F.col("score"), 1).otherwise(0))
 
 
@@ -160,10 +160,14 @@ def zero_shot_scores(pairs: DataFrame, premise: str = "Abstract", hypothesis: st
 def nli_collapse(scored: DataFrame, score_col: str = "score") -> DataFrame:
     """Positive and negative hypothesis of one label → one decision:
     margin = score(positive) − score(negative); decided when margin > 0.
-    Groups hold two rows each."""
-    signed = F.when(F.col("Positive"), F.col(score_col)).otherwise(-F.col(score_col))
-    return (scored.groupBy("PMID", "Label_idx").agg(F.sum(signed).alias("margin"))
-                  .withColumn("decision", F.col("margin") > 0))
+
+    A ``premise`` column tells several documents of one id apart: each gets its
+    own decisions. Rows that repeat (the same document twice) count once."""
+    keys = [c for c in ("PMID", "premise", "Label_idx") if c in scored.columns]
+    side = [F.avg(F.when(p, F.col(score_col))) for p in (F.col("Positive"), ~F.col("Positive"))]
+    any_score = F.count(F.when(F.col("Positive").isNotNull(), F.col(score_col))) > 0
+    margin = F.when(any_score, F.coalesce(side[0], F.lit(0.0)) - F.coalesce(side[1], F.lit(0.0)))
+    return scored.groupBy(*keys).agg(margin.alias("margin")).withColumn("decision", F.col("margin") > 0)
 
 
 # V10 ------------------------------------------------------------------------

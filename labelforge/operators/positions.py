@@ -100,12 +100,15 @@ def _local_scan(group: str, value: str):
     def scan(batches):
         import numpy as np
         import pandas as pd
-        carry_g, carry_max, carry_last = None, np.nan, None
+        started, carry_g, carry_max, carry_last = False, None, np.nan, None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            g, v = pdf[group], pdf[value].astype("float64")
-            cont = (g == carry_g).to_numpy() if carry_g is not None else np.zeros(len(pdf), bool)
+            v = pdf[value].astype("float64")
+            # a null group is a group: its code is -1
+            g = pd.Series(pd.factorize(pdf[group])[0], index=pdf.index)
+            own = pdf[group].isna() if started and pd.isna(carry_g) else pdf[group] == carry_g
+            cont = own.to_numpy() if started else np.zeros(len(pdf), bool)
             cm = v.fillna(-np.inf).groupby(g, sort=False).cummax().to_numpy()
             if cont.any() and not np.isnan(carry_max):
                 cm[cont] = np.maximum(cm[cont], carry_max)
@@ -116,7 +119,7 @@ def _local_scan(group: str, value: str):
                 first = first & ~cont
                 prev.iloc[0] = carry_last
             out = pdf.assign(_lf_lmax=cm, _lf_lprev=prev.where(pd.notna(prev), None), _lf_first=first)
-            carry_g, carry_last = g.iloc[-1], pdf[value].iloc[-1]
+            started, carry_g, carry_last = True, pdf[group].iloc[-1], pdf[value].iloc[-1]
             carry_max = cm[-1]
             yield out
     return scan
@@ -163,11 +166,14 @@ def running_max_and_lag(df: DataFrame, group: str, order_cols: list[str], value:
         # only the first group of a partition can continue from earlier
         # partitions: the carry table has at most one row per partition, so
         # it is broadcast and the scanned rows stay where they are
-        first = seg.groupBy("_lf_pid").agg(F.min(group).alias(group))
-        carry = F.broadcast(carry.join(first, ["_lf_pid", group]))
-        out = local.join(carry, ["_lf_pid", group], "left")
+        first = seg.groupBy("_lf_pid").agg(F.min(F.struct(F.col(group).isNotNull().alias("k"), F.col(group).alias("g"))).alias("_lf_first_g"))
+        carry = carry.join(first, "_lf_pid").filter(F.col(group).eqNullSafe(F.col("_lf_first_g.g"))).drop("_lf_first_g")
+        carry, how = F.broadcast(carry), "left"
     else:
-        out = local.join(carry, ["_lf_pid", group])
+        how = "inner"
+    carry = carry.withColumnsRenamed({"_lf_pid": "_lf_cpid", group: "_lf_cgroup"})
+    here = (F.col("_lf_pid") == F.col("_lf_cpid")) & F.col(group).eqNullSafe(F.col("_lf_cgroup"))
+    out = local.join(carry, here, how).drop("_lf_cpid", "_lf_cgroup")
     return (out.withColumn(best, F.greatest("_lf_lmax", "_lf_cmax"))
                .withColumn(prev, F.when(F.col("_lf_first"), F.col("_lf_clast"))
                                   .otherwise(F.col("_lf_lprev")))
@@ -187,7 +193,8 @@ def running_sums(df: DataFrame, group: str, order: Column, sums: list[str],
     segments = ranged.groupBy("_lf_pid", group).agg(*[F.sum(c).alias(f"_lf_{c}") for c in sums])
     carry = segments.select("_lf_pid", group, *[F.coalesce(F.sum(f"_lf_{c}").over(earlier), F.lit(0)).alias(f"_lf_{c}") for c in sums])
     return (ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"before_{c}") for c in sums])
-            .join(carry, ["_lf_pid", group])
+            .join(carry.withColumnsRenamed({"_lf_pid": "_lf_cpid", group: "_lf_cgroup"}),
+                  (F.col("_lf_pid") == F.col("_lf_cpid")) & F.col(group).eqNullSafe(F.col("_lf_cgroup"))).drop("_lf_cpid", "_lf_cgroup")
             .withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_lf_{c}") for c in sums})
             .drop("_lf_pid", "_lf_order", *[f"_lf_{c}" for c in sums]))
 

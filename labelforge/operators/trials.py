@@ -36,6 +36,11 @@ def read_trial_results(spark: SparkSession, root: str, schema: T.StructType,
     return df
 
 
+def read_trial_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """The rows of the given result files, with ``_lf_path`` (for ``catalogue.refresh``)."""
+    return spark.read.schema(schema).json(paths).withColumn("_lf_path", F.col("_metadata.file_path"))
+
+
 def read_trial_progress(spark: SparkSession, root: str, schema: T.StructType,
                         file_glob: str = "*.csv") -> DataFrame:
     return (spark.read.schema(schema).option("recursiveFileLookup", "true")
@@ -44,7 +49,7 @@ def read_trial_progress(spark: SparkSession, root: str, schema: T.StructType,
 
 
 # S6 -------------------------------------------------------------------------
-def read_training_log(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def read_training_log(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                       multi_line: bool = True) -> DataFrame:
     """Training-state documents; one row per entry of ``log_history``.
 

@@ -8,3 +8,4 @@ from labelforge.plans import harvest_proofs  # noqa: F401
 from labelforge.plans import text_proofs  # noqa: F401
 from labelforge.plans import trial_proofs  # noqa: F401
 from labelforge.plans import model_proofs  # noqa: F401
+from labelforge.plans import index_proofs  # noqa: F401

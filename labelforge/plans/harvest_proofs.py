@@ -189,3 +189,33 @@ def xml_dirty_bodies(spark, d):
         once = _planned(spark, d).join(docs, "doc_id").select("batch_id", "pos", rec.alias("rec"))
         return H.land_bodies(once.union(once.select(F.col("batch_id") + 1, "pos", "rec")), work_path(spark, "dirty-bodies"))
     return H.abstracts_from_records(H.one_per_id(_records(spark, d, S.landed(spark, d, "dirty-bodies", land))))
+
+
+@proof("src_xml_chunks", f"SELECT CAST(doc_id AS VARCHAR) AS PMID, {RECORD_SQL} AS record FROM documents")
+def src_xml_chunks(spark, d):
+    """The bodies read in splits, by record end."""
+    records = H.parse_records(H.xml_records(H.read_body_chunks(spark, _land_xml(spark, d))))
+    return records.select(F.col(f"{H.PARSED}.pmid").alias("PMID"), "record")
+
+
+MESH_TERMS = [("de", "src3"), ("fr", "src1"), ("en", None)]
+
+
+@proof("candidate_mesh_filter",
+       "SELECT CAST(doc_id AS VARCHAR) AS PMID FROM documents WHERE "
+       "(lang = 'de' AND source = 'src3' OR lang = 'fr' AND source = 'src1' OR lang = 'en') AND (doc_id % 3 = 0 OR doc_id % 4 = 0)")
+def candidate_mesh_filter(spark, d):
+    """Headings with qualifiers and major topics, parsed from landed records: topic = lang, qualifier = source."""
+    def build():
+        flag = [F.when(F.col("doc_id") % n == 0, F.lit("Y")).otherwise(F.lit("N")) for n in (3, 4)]
+        record = F.concat(
+            F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("doc_id").cast("string"),
+            F.lit('</PMID><MeshHeadingList><MeshHeading><DescriptorName MajorTopicYN="'), flag[0], F.lit('">'), H.xml_escape(F.col("lang")),
+            F.lit('</DescriptorName><QualifierName MajorTopicYN="'), flag[1], F.lit('">'), H.xml_escape(F.col("source")),
+            F.lit("</QualifierName></MeshHeading></MeshHeadingList></MedlineCitation></PubmedArticle>"))
+        path = work_path(spark, "mesh-bodies")
+        S.table(spark, d, "documents").select(record.alias("value")).write.text(path)
+        return path
+    records = H.parse_records(H.xml_records(H.read_body_chunks(spark, S.landed(spark, d, "_mesh_bodies", build))))
+    held = records.select(F.col(f"{H.PARSED}.pmid").alias("PMID"), F.col(f"{H.PARSED}.headings").alias("headings"))
+    return prep.mesh_term_filter(held, "headings", MESH_TERMS).select("PMID")

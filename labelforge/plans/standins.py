@@ -130,14 +130,24 @@ NLI_SQL = ("SELECT m.PMID, m.Title, m.Abstract, h.Hypothesis, "
            "WHERE m.Split IN ('Train', 'Validation', 'Test')")
 
 
-# Landed fixtures (log trees, response bodies) are deterministic: land each
-# once per shared folder and input directory, then reuse it.
-_LANDED: dict[tuple[str, str, str], str] = {}
+# Landed fixtures (log trees, response bodies) are deterministic: land each once per shared folder and input, then
+# reuse it. The input counts as the same while its files have the same names, sizes and times.
+_LANDED: dict[tuple, str] = {}
+
+
+def _files_of(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listed.hasNext():
+        f = listed.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     from labelforge.session import shared_dir
-    key = (shared_dir(spark), sf_dir, name)
+    key = (shared_dir(spark), sf_dir, name, _files_of(spark, sf_dir))
     if key not in _LANDED:
         _LANDED[key] = build()
     return _LANDED[key]

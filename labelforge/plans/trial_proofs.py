@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelforge.operators import catalogue
 from labelforge.operators import trials as TR
 from labelforge.plans import standins as S
 from labelforge.plans.registry import proof
@@ -94,6 +95,17 @@ def _results(spark, d):
     return df.withColumn("model", TR.path_part("model_dir")).drop("_lf_path")
 
 
+def _catalogued(spark, d):
+    """The same logs through the incremental catalogue: every file is read once, packed into Parquet."""
+    def build():
+        root, path = _land_results(spark, d), work_path(spark, "trial-catalogue")
+        schema = trial_rows(spark, d).drop("model").schema
+        catalogue.refresh(spark, root, path, lambda paths: TR.read_trial_files(spark, paths, schema), "*.json", skip_dir="checkpoint_tmp")
+        return path
+    rows = catalogue.rows(spark, S.landed(spark, d, "_trial_catalogue", build))
+    return rows.withColumn("model", F.regexp_extract("_lf_path", "model_dir=([^/]+)", 1)).drop("_lf_path")
+
+
 def _r6(c):
     return F.round(c, 6).alias(c)
 
@@ -135,7 +147,7 @@ def trial_objective(spark, d):
        "round(max(objective), 6) AS objective "
        f"FROM ({TRIALS_SQL}) t GROUP BY model")
 def best_trial(spark, d):
-    b = TR.best_trial(_results(spark, d), keep=["trial_id", "training_iteration"])
+    b = TR.best_trial(_catalogued(spark, d), keep=["trial_id", "training_iteration"])
     return b.select("model", "trial_id", "training_iteration", _r6("objective"))
 
 
@@ -149,7 +161,7 @@ BEST_SQL = ("SELECT model, arg_max(batch_size, struct_pack(o := objective, ts :=
        "SELECT model, batch_size, round(learning_rate, 9) AS learning_rate, round(weight_decay, 6) AS weight_decay "
        f"FROM ({BEST_SQL}) b")
 def best_trial_json(spark, d):
-    b = TR.best_trial(_results(spark, d), keep=["trial_id", "config"])
+    b = TR.best_trial(_catalogued(spark, d), keep=["trial_id", "config"])
     path = work_path(spark, "hyperparameters")
     b.write.mode("overwrite").partitionBy("model").json(path)   # one JSON per model
     back = spark.read.schema(b.drop("model").schema).json(path).withColumn("model", TR.path_part("model"))
@@ -163,7 +175,7 @@ def best_trial_json(spark, d):
        "round(b.weight_decay, 6) AS weight_decay "
        f"FROM (SELECT DISTINCT event_type AS model FROM events) m LEFT JOIN ({BEST_SQL}) b USING (model)")
 def best_config_lookup(spark, d):
-    best = TR.best_trial(_results(spark, d), keep=["config"])
+    best = TR.best_trial(_catalogued(spark, d), keep=["config"])
     models = S.table(spark, d, "events").select(F.col("event_type").alias("model")).distinct()
     j = models.join(best, "model", "left")
     return j.select("model", F.col("config.per_device_train_batch_size").alias("batch_size"),
@@ -358,10 +370,14 @@ LOG_ROWS_SQL = (
     "FROM (" + TRIALS_SQL + ") t JOIN events e USING (event_id)")
 
 
+LOG_SCHEMA = ("run_id string, epoch double, global_step long, log_history array<struct<epoch double, step long, loss double, "
+              "learning_rate double, eval_loss double, eval_f1_micro double>>")
+
+
 @proof("src_training_log",
        f"SELECT run_id, step, round(loss, 6) AS loss, round(eval_loss, 6) AS eval_loss FROM ({LOG_ROWS_SQL}) l")
 def src_training_log(spark, d):
-    log = TR.read_training_log(spark, _land_training_log(spark, d), multi_line=False)
+    log = TR.read_training_log(spark, _land_training_log(spark, d), LOG_SCHEMA, multi_line=False)
     return log.select("run_id", "step", _r6("loss"), _r6("eval_loss"))
 
 
@@ -369,6 +385,6 @@ def src_training_log(spark, d):
        "SELECT run_id, arg_min(step, struct_pack(l := eval_loss, s := step)) AS best_step, "
        f"round(min(eval_loss), 6) AS best_metric FROM ({LOG_ROWS_SQL}) l WHERE eval_loss IS NOT NULL GROUP BY run_id")
 def best_checkpoint(spark, d):
-    log = TR.read_training_log(spark, _land_training_log(spark, d), multi_line=False)
+    log = TR.read_training_log(spark, _land_training_log(spark, d), LOG_SCHEMA, multi_line=False)
     b = TR.best_checkpoint(log)
     return b.select("run_id", "best_step", _r6("best_metric"))

@@ -73,14 +73,15 @@ def check_split_files(files: dict[str, str]) -> str:
 
 
 def read_split_files(spark: SparkSession, files: dict[str, str],
-                     schema: T.StructType, split_col: str = "split_name") -> DataFrame:
-    """Each split's file read in its format and tagged; one DataFrame."""
+                     schema: T.StructType, split_col: str = "split_name", multi_line: bool = True) -> DataFrame:
+    """Each split's file read in its format and tagged; one DataFrame. CSV with
+    ``multi_line`` off is read in splits (see ``read_csv_table``)."""
     fmt = check_split_files(files)
     out = None
     for split, path in files.items():
         reader = spark.read.schema(schema)
         if fmt == "csv":
-            reader = reader.options(**CSV_OPTIONS)
+            reader = reader.options(**CSV_OPTIONS | {"multiLine": str(multi_line).lower()})
         part = reader.format(fmt).load(path).withColumn(split_col, F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out

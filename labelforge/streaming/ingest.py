@@ -46,7 +46,10 @@ def ingest_available(spark: SparkSession, src_dir: str, out_dir: str, checkpoint
 
     A batch writes folders of its own number (overwritten if it runs again), so
     a restarted stream repeats no row. Bad records: ``<out_dir>-quarantine``.
+    Nothing landed yet: an empty table.
     """
+    schema = f"`{key}` long, Abstract string"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out_dir}/ingest_batch=-1")
     stream = parsed_stream(spark, src_dir, key, bounded_state=bounded_state)
 
     def land(batch: DataFrame, number: int) -> None:
@@ -60,5 +63,4 @@ def ingest_available(spark: SparkSession, src_dir: str, out_dir: str, checkpoint
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    schema = f"`{key}` long, Abstract string, ingest_batch long"
-    return spark.read.schema(schema).parquet(out_dir).drop("ingest_batch")
+    return spark.read.schema(f"{schema}, ingest_batch long").parquet(out_dir).drop("ingest_batch")
