@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelforge.operators import joint_fit as JF
 from labelforge.operators import models as MD
 from labelforge.operators import prepare as prep
+from labelforge.operators import trials as TR
 from labelforge.plans import standins as S
 from labelforge.plans.registry import proof
 from labelforge.session import work_path
@@ -57,3 +59,34 @@ def param_search(spark, d):
     train = b.filter(F.col("split_name") == "train")
     valid = b.filter(F.col("split_name") == "validation")
     return MD.param_search(train, valid, "Abstract", "label", len(S.LABELS), MD.draw_trials(MD.SearchSpace(), n_trials=10))
+
+
+@proof("fit_joint")
+def fit_joint(spark, d):
+    """Every label and several penalties from the same scans: scores of validation and test by the first trial."""
+    b = _binary(spark, d)
+    train = b.filter(F.col("split_name") == "train")
+    model = JF.fit_joint(train, "Abstract", "label", len(S.LABELS), [0.01, 0.1], passes=12)
+    scored = model.scores(b.filter(F.col("split_name").isin("validation", "test")), "Abstract")
+    return scored.select("PMID", "split_name", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
+
+
+def _population(spark, d):
+    b = _binary(spark, d)
+    train, valid = (b.filter(F.col("split_name") == s) for s in ("train", "validation"))
+    return JF.population_search(train, valid, "Abstract", "label", len(S.LABELS), n_trials=4, generations=3, passes=4)
+
+
+@proof("population_search")
+def population_search(spark, d):
+    """A row a generation and trial: penalty and validation loss."""
+    results, _, _ = _population(spark, d)
+    return results.select("generation", "trial", F.round("regParam", 9).alias("regParam"), F.round("eval_loss", 6).alias("eval_loss"))
+
+
+@proof("population_mutations")
+def population_mutations(spark, d):
+    """T5 and T6 on the search's own policy log."""
+    _, policy, _ = _population(spark, d)
+    return TR.policy_mutations(TR.policy_events(TR.parse_policy_lines(policy))).select(
+        "target_tag", "source_tag", "target_iter", "source_iter", "weight_decay_change")
