@@ -107,6 +107,27 @@ def xml_records(bodies: DataFrame, body_col: str = "body") -> DataFrame:
                   .drop(body_col))
 
 
+class BodyRecords:
+    """Table function: the records of response bodies, for SQL.
+
+    ``SELECT * FROM body_records(TABLE(bodies) PARTITION BY path)`` gives (path,
+    number, pmid, has_abstract, abstract, error) for each start tag of a body; a
+    task holds one body at a time.
+    """
+
+    def eval(self, row):
+        import re
+        found = re.finditer(RECORD_PATTERN.replace(r"\z", r"\Z"), row["body"] or "")
+        for number, match in enumerate(found):
+            fields = record_fields(match.group(0))
+            yield row["path"], number, fields["pmid"], fields["has_abstract"], fields["abstract"], fields["error"]
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    made = F.udtf(BodyRecords, returnType="path string, number int, pmid string, has_abstract boolean, abstract string, error string")
+    spark.udtf.register("body_records", made)
+
+
 RECORD_FIELDS = T.StructType([
     T.StructField("pmid", T.StringType()), T.StructField("has_abstract", T.BooleanType()),
     T.StructField("abstract", T.StringType()), T.StructField("mesh", T.ArrayType(T.StringType())),

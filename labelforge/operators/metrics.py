@@ -51,6 +51,37 @@ def confusion_counts(df: DataFrame, n_labels: int, pred_col: str = "pred",
                 .withColumn("support", F.col("tp") + F.col("fn")))
 
 
+def confusion_sums(n_labels: int, pred_col: str = "pred", label_col: str = "label") -> list[Column]:
+    """Aggregates for any ``groupBy``: ``counts``, an array of (label_idx, tp, fp, fn) in label order."""
+    rows = []
+    for c in range(n_labels):
+        p = F.coalesce(F.col(pred_col)[c] == 1, F.lit(False))
+        y = _positive(F.col(label_col)[c])
+        rows.append(F.struct(F.lit(c).cast("long").alias("label_idx"), *[
+            F.sum(x.cast("long")).alias(n) for n, x in (("tp", p & y), ("fp", p & ~y), ("fn", ~p & y))]))
+    return [F.array(*rows).alias("counts")]
+
+
+def metrics_by(df: DataFrame, keys: list[str], n_labels: int, score_col: str = "logits", label_col: str = "label") -> DataFrame:
+    """The values of ``multi_label_metrics`` for each group of ``keys``, from one aggregation: the confusion counts are
+    combined in the tasks, and everything else is arithmetic on a group's row."""
+    counts = with_predictions(df, score_col).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *confusion_sums(n_labels, "pred", label_col))
+
+    def total(name: str) -> Column:
+        return F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x[name])
+
+    def mean(num, den) -> Column:
+        return F.aggregate("counts", F.lit(0.0), lambda s, x: s + _ratio(num(x), den(x))) / n_labels
+
+    tp, fp, fn = (total(n) for n in ("tp", "fp", "fn"))
+    parts = {"f1": (lambda x: 2 * x["tp"], lambda x: 2 * x["tp"] + x["fp"] + x["fn"]), "precision": (lambda x: x["tp"], lambda x: x["tp"] + x["fp"]),
+             "recall": (lambda x: x["tp"], lambda x: x["tp"] + x["fn"])}
+    micro = {"f1": _ratio(2 * tp, 2 * tp + fp + fn), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)}
+    out = counts.select(*keys, "n", *[micro[m].alias(f"{m}_micro") for m in parts], *[mean(*parts[m]).alias(f"{m}_macro") for m in parts])
+    combined = sum((F.col(k) for k in MULTI_LABEL_KEYS), F.lit(0.0)) / len(MULTI_LABEL_KEYS)
+    return out.select(*keys, "n", *MULTI_LABEL_KEYS, combined.alias("combined_score"))
+
+
 def with_predictions(df: DataFrame, score_col: str = "logits", cut: float = 0.5,
                      pred_col: str = "pred") -> DataFrame:
     return df.withColumn(pred_col, threshold_scores(F.col(score_col), cut))

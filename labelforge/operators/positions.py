@@ -206,3 +206,16 @@ def with_batch_id(df: DataFrame, order_cols: list[str | Column], batch_size: int
         raise ValueError("batch_size must be positive")
     out = with_row_index(df, order_cols, pos)
     return out.withColumn(batch, F.floor(F.col(pos) / F.lit(batch_size)).cast("long"))
+
+
+def bounded_lists(df: DataFrame, key: str, order: Column, value: Column, limit: int, num_partitions: int | None = None) -> DataFrame:
+    """``key, part, values``: the values of each key in ``order`` (a total order within the key), cut into lists of at most
+    ``limit``. Positions come from sorted range partitions and parts are grouped by themselves, so a key of any size is
+    never in one task or one row."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    narrow = df.select(F.col(key), order.alias("_lf_by"), value.alias("_lf_value"), F.lit(1).cast("long").alias("one"))
+    placed = running_sums(narrow, key, F.col("_lf_by"), ["one"], num_partitions)
+    part = F.floor(F.col("before_one") / F.lit(limit)).cast("long")
+    held = placed.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("before_one").alias("at"), F.col("_lf_value").alias("v")))).alias("l"))
+    return held.select(key, "part", F.transform("l", lambda x: x["v"]).alias("values"))

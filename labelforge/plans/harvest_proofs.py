@@ -219,3 +219,12 @@ def candidate_mesh_filter(spark, d):
     records = H.parse_records(H.xml_records(H.read_body_chunks(spark, S.landed(spark, d, "_mesh_bodies", build))))
     held = records.select(F.col(f"{H.PARSED}.pmid").alias("PMID"), F.col(f"{H.PARSED}.headings").alias("headings"))
     return prep.mesh_term_filter(held, "headings", MESH_TERMS).select("PMID")
+
+
+@proof("udtf_body_records",
+       f"SELECT CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN n_chars >= {SHORT} THEN text END AS abstract FROM documents")
+def udtf_body_records(spark, d):
+    """U3: the records of each body by a table function that SQL calls."""
+    H.register_table_functions(spark)
+    H.read_bodies(spark, _land_xml(spark, d)).createOrReplaceTempView("lf_bodies")
+    return spark.sql("SELECT pmid, abstract FROM body_records(TABLE(lf_bodies) PARTITION BY path) WHERE error IS NULL")

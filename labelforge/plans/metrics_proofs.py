@@ -283,3 +283,29 @@ def split_counts(spark, d):
     b = prep.build_binary(S.abstracts(spark, d), S.binary_labels(spark, d), S.SPEC,
                           with_index=False)
     return b.groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+LIST_LIMIT = 4
+
+
+@proof("collect_per_key_parts",
+       "SELECT conv_id, part, string_agg(role, ', ' ORDER BY pos) AS roles FROM (SELECT *, pos // 4 AS part FROM (SELECT conv_id, role, "
+       "row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations) x) y GROUP BY conv_id, part")
+def collect_per_key_parts(spark, d):
+    """A4 with lists of bounded length, whatever the key holds."""
+    from labelforge.operators.positions import bounded_lists
+    conv = S.table(spark, d, "conversations")
+    lists = bounded_lists(conv, "conv_id", F.struct("turn", "role", "text"), F.col("role"), LIST_LIMIT)
+    return lists.select("conv_id", "part", F.array_join("values", ", ").alias("roles"))
+
+
+BY_SPLIT_SQL = ALL_SQL.replace(S.SCORED_SQL, f"SELECT * FROM ({S.SCORED_SQL}) s0 WHERE Split = '{{split}}'")
+
+
+@proof("metrics_by_split",
+       " UNION ALL ".join(f"SELECT '{s}' AS Split, (SELECT count(*) FROM ({S.SCORED_SQL}) n WHERE Split = '{s}') AS n, "
+                          + ", ".join(f"round({k}, 6) AS {k}" for k in M.MULTI_LABEL_KEYS + ["combined_score"])
+                          + f" FROM ({BY_SPLIT_SQL.format(split=s)}) a" for s in ("Train", "Validation", "Test")))
+def metrics_by_split(spark, d):
+    out = M.metrics_by(S.scored(spark, d), ["Split"], C)
+    return out.select("Split", "n", *[F.round(k, 6).alias(k) for k in [*M.MULTI_LABEL_KEYS, "combined_score"]])

@@ -4,7 +4,6 @@ scoring and the polarity collapse, seeded order and sampling
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from labelforge.functions import text as X
@@ -173,25 +172,49 @@ def udf_nli_mapinpandas(spark, d):
     hyps = [(h.label_name, h.label_idx, h.positive, h.negative) for h in S.SPEC.hypotheses]
 
     def expand(batches):
-        for pdf in batches:
-            out = []
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for b in batches:
+            label, n = b.column("label"), b.num_rows
             for _name, idx, pos_text, neg_text in hyps:
-                vals = pdf["label"].map(lambda v, i=idx: None if v is None else v[i])
-                for positive, text in ((True, pos_text), (False, neg_text)):
-                    part = pdf[["PMID", "Title", "Abstract", "split_name"]].copy()
-                    part["Hypothesis"] = text
-                    if positive:
-                        part["Entailment"] = vals
-                    else:
-                        part["Entailment"] = vals.map(
-                            lambda v: 0.0 if v is None or v != v else float(v == 0))
-                    part["Positive"] = positive
-                    part["Label_idx"] = idx
-                    out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)[
-                    ["PMID", "Title", "Abstract", "Hypothesis", "Entailment", "Positive",
-                     "Label_idx", "split_name"]]
+                value = pc.list_element(label, idx).cast(pa.float64())
+                missing = pc.or_kleene(pc.is_null(value), pc.fill_null(pc.is_nan(value), False))
+                negated = pc.if_else(missing, 0.0, pc.fill_null(pc.equal(value, 0.0), False).cast(pa.float64()))
+                for positive, text, entailment in ((True, pos_text, value), (False, neg_text, negated)):
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("PMID"), b.column("Title"), b.column("Abstract"), pa.repeat(pa.scalar(text, pa.string()), n), entailment,
+                         pa.repeat(positive, n), pa.repeat(pa.scalar(idx, pa.int64()), n), b.column("split_name")],
+                        names=["PMID", "Title", "Abstract", "Hypothesis", "Entailment", "Positive", "Label_idx", "split_name"])
 
     b = prep.build_binary(S.abstracts(spark, d), S.binary_labels(spark, d), S.SPEC, with_index=False)
-    return b.select("PMID", "Title", "Abstract", "split_name", "label").mapInPandas(expand, NLI_PANDAS_SCHEMA)
+    return b.select("PMID", "Title", "Abstract", "split_name", "label").mapInArrow(expand, NLI_PANDAS_SCHEMA)
+
+
+# A public byte-level vocabulary; its path is a parameter of every function that uses it.
+VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.json", 50256
+
+
+@proof("subword_sequences")
+def subword_sequences(spark, d):
+    """F15 in model tokens: whole texts encoded, cut and padded (rows-only: the vocabulary is no SQL table)."""
+    from labelforge.functions import subword as W
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    out = W.with_subword_sequence(docs, "text", W.read_vocabulary(VOCABULARY), 512, END, END, END)
+    return out.select("doc_id", "n_tokens", "truncated", "input_ids", "attention_mask")
+
+
+@proof("subword_truncation_rate")
+def subword_truncation_rate(spark, d):
+    """F17 in model tokens, by language."""
+    from labelforge.functions import subword as W
+    out = W.truncation_rate(S.table(spark, d, "documents"), "text", W.read_vocabulary(VOCABULARY), 512, "lang")
+    return out.select("lang", "n", "n_truncated", F.round("rate", 6).alias("rate"))
+
+
+@proof("subword_round_trip", "SELECT doc_id, text FROM documents")
+def subword_round_trip(spark, d):
+    """Encoding and decoding gives back every whole text."""
+    from labelforge.functions import subword as W
+    vocabulary = W.read_vocabulary(VOCABULARY)
+    docs = S.table(spark, d, "documents").select("doc_id", W.encoder(vocabulary)(F.col("text")).alias("ids"))
+    return docs.select("doc_id", W.decoder(vocabulary)(F.col("ids")).alias("text"))
