@@ -34,17 +34,16 @@ def test_split_files_extension_rules(spark):
 
 
 def test_training_log_single_pretty_printed_document(spark):
-    doc = {"best_metric": 0.19310, "best_model_checkpoint": "out/checkpoint-2004", "epoch": 5.0,
-           "global_step": 2505,
-           "log_history": [{"epoch": 1.0, "learning_rate": 2.4e-05, "loss": 0.31, "step": 500},
-                           {"epoch": 1.0, "eval_loss": 0.2247, "eval_f1_micro": 0.93, "step": 501},
-                           {"epoch": 4.0, "eval_loss": 0.19310, "eval_f1_micro": 0.95, "step": 2004},
-                           {"epoch": 5.0, "eval_loss": 0.1951, "eval_f1_micro": 0.954, "step": 2505}]}
+    doc = {"best_metric": 0.25, "best_model_checkpoint": "run/step-70", "epoch": 3.0, "global_step": 90,
+           "log_history": [{"epoch": 1.0, "learning_rate": 0.001, "loss": 0.8, "step": 10},
+                           {"epoch": 1.0, "eval_loss": 0.5, "eval_f1_micro": 0.6, "step": 30},
+                           {"epoch": 2.0, "eval_loss": 0.25, "eval_f1_micro": 0.7, "step": 70},
+                           {"epoch": 3.0, "eval_loss": 0.375, "eval_f1_micro": 0.75, "step": 90}]}
     d = tempfile.mkdtemp(prefix="lf-trainer-")
     with open(os.path.join(d, "trainer_state.json"), "w") as fh:
         json.dump(doc, fh, indent=2)
     rows = TR.read_training_log(spark, d, multi_line=True).withColumn("run_id", F.lit("r"))
     assert rows.count() == 4
     best = TR.best_checkpoint(rows).first()
-    # golden: the best checkpoint is the lowest eval loss (0.19310 at step 2004)
-    assert (best.best_step, best.best_metric) == (2004, 0.19310)
+    # the best checkpoint is the one of lowest evaluation loss, not the last
+    assert (best.best_step, best.best_metric) == (70, 0.25)
