@@ -34,10 +34,12 @@ def edits(a, b):
     return int(row[-1])
 
 
-def simhash(norm):
-    words = norm.split(" ")
-    hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(words))
+def simhash(norm, common=None, long=40):
+    """``common``: a byte a hash place; in long lines the words of marked places don't vote."""
+    hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in norm.split(" ")]
+    if common and len(hashes) >= long:
+        hashes = [h for h in hashes if not common[h & len(common) - 1]]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def share_block(x, bits, blocks=8):
@@ -46,7 +48,7 @@ def share_block(x, bits, blocks=8):
     return any((x >> step * k | x << 64 - step * k) & (1 << bits) - 1 == 0 for k in range(blocks))
 
 
-def removed_lines(docs, min_words=5, similarity=0.8, flips=None, bits=None):
+def removed_lines(docs, min_words=5, similarity=0.8, flips=None, bits=None, common=None):
     """docs: (id, text). {(id, text): sorted numbers of the removed lines}. With ``bits``, pairs must share a block and lie within ``flips``."""
     where = defaultdict(set)
     for ident, text in docs:
@@ -56,7 +58,7 @@ def removed_lines(docs, min_words=5, similarity=0.8, flips=None, bits=None):
                 where[norm].add((ident is not None, ident or 0, ident, text, i))
     norms = sorted(where)
     long = [i for i, x in enumerate(norms) if x.count(" ") >= min_words - 1]
-    sims = {i: simhash(norms[i]) for i in long} if bits else {}
+    sims = {i: simhash(norms[i], common) for i in long} if bits else {}
     links = []
     for k, a in enumerate(long):
         for b in long[k + 1:]:

@@ -127,7 +127,8 @@ def test_line_dedup_against_all_pairs(spark, docs):
     """The query's parameters: the same lines as by comparing all pairs that share a block; and all pairs, for the exact way."""
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("doc_id < 120").collect()]
     some = docs.where("doc_id < 120")
-    gone, links = brute.removed_lines(rows, flips=line_dedup.FLIPS, bits=line_dedup.LEAST_BITS)
+    common = line_dedup.common_words(some, "doc_id", "text", 5)
+    gone, links = brute.removed_lines(rows, flips=line_dedup.FLIPS, bits=line_dedup.LEAST_BITS, common=common)
     assert {r.doc_id: r.removed for r in line_dedup.report(some).collect()} == said_of(gone, rows)
     every, more = brute.removed_lines(rows)
     assert {r.doc_id: r.removed for r in line_dedup.report(some, exact=True).collect()} == said_of(every, rows)
@@ -189,8 +190,12 @@ def test_edits_are_counted_on_the_words(spark, monkeypatch):
 def test_simhash_of_very_long_lines(spark):
     lines = ["a b c d e f", " ".join(f"w{i % 211}" for i in range(20_000)), " ".join(f"w{i % 311}" for i in range(40_000)), "a"]
     df = spark.createDataFrame([(i, x.split(" "), x.count(" ") + 1) for i, x in enumerate(lines)], "i long, w array<string>, size int")
-    got = {r.i: r.sim % 2**64 for r in line_dedup.with_sketches(df, "w", "size").collect()}
+    none = bytes(line_dedup.PLACES)
+    got = {r.i: r.sim % 2**64 for r in line_dedup.with_sketches(df, "w", "size", none).collect()}
     assert got == {i: brute.simhash(x) for i, x in enumerate(lines)}
+    some = bytes(i % 2 for i in range(line_dedup.PLACES))
+    got = {r.i: r.sim % 2**64 for r in line_dedup.with_sketches(df.where("i <> 2"), "w", "size", some).collect()}
+    assert got == {i: brute.simhash(lines[i], some) for i in (0, 1, 3)}
 
 
 def test_secrets_against_plain_expressions(docs):
