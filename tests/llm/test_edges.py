@@ -86,7 +86,8 @@ def test_toxicity(docs, labels):
 
 def test_decontaminate(docs, items):
     out = by_id(decontaminate.leaked_pairs(docs, items), "doc_id", "item_id", "score")
-    assert out == [(None, 7, 1.0), (1, 7, 1.0), (1, 7, 1.0)]
+    # the item without an id is searched like the others
+    assert out == [(None, None, 1.0), (None, 7, 1.0), (1, None, 1.0), (1, None, 1.0), (1, 7, 1.0), (1, 7, 1.0)]
     kept = decontaminate.find_leaks(docs, items, column="leaks")
     assert kept.columns == [*docs.columns, "leaks"] and kept.where("size(leaks) = 0").count() == len(DOCS) - 3
     assert decontaminate.leaked_pairs(docs, items.limit(0)).count() == 0
