@@ -75,14 +75,12 @@ def _land_results(spark, d):
 
 
 def _land_results_now(spark, d):
-    """result.json lines per trial directory, plus a decoy directory to skip."""
+    """Result lines in a directory per model, plus a decoy directory to skip."""
     rows = trial_rows(spark, d)
     root = work_path(spark, "tune-results")
-    out = (rows.withColumn("model_dir", F.col("model")).withColumn("trial_dir", F.col("trial_id"))
-               .drop("model"))
-    # one file per trial directory, as a search run leaves them
-    (out.repartition("model_dir", "trial_dir").write.mode("overwrite")
-        .partitionBy("model_dir", "trial_dir").json(f"{root}/runs"))
+    out = rows.withColumn("model_dir", F.col("model")).drop("model")
+    # a task's rows of a model are one file, whatever the number of trials: files grow with the bytes
+    out.write.mode("overwrite").partitionBy("model_dir").json(f"{root}/runs")
     # stale copies a search leaves in checkpoint folders: must not be counted
     out.write.mode("overwrite").json(f"{root}/runs/checkpoint_tmp")
     return root
