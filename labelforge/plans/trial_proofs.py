@@ -121,8 +121,8 @@ def src_trial_json(spark, d):
 def src_trial_csv(spark, d):
     rows = trial_rows(spark, d).drop("config")
     root = work_path(spark, "tune-progress")
-    (rows.withColumn("model_dir", F.col("model")).withColumn("trial_dir", F.col("trial_id")).drop("model")
-         .repartition("model_dir", "trial_dir").write.mode("overwrite").option("header", "true").partitionBy("model_dir", "trial_dir").csv(root))
+    (rows.withColumn("model_dir", F.col("model")).drop("model")
+         .write.mode("overwrite").option("header", "true").partitionBy("model_dir").csv(root))
     schema = rows.drop("model").schema
     df = TR.read_trial_progress(spark, root, schema)
     return df.select(TR.path_part("model_dir").alias("model"), "trial_id", "training_iteration",
