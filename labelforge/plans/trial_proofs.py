@@ -246,7 +246,7 @@ def _policy_lines(spark, d):
                     F.lit(", "), F.col("training_iteration").cast("string"),
                     F.lit(", "), (F.col("training_iteration") - 1).cast("string"),
                     F.lit(", "), F.to_json(old), F.lit(", "), F.to_json(new), F.lit("]"))
-    return r.select("trial_id", source.alias("source_tag"), line.alias("value"))
+    return r.select(line.alias("value"))
 
 
 def _land_policy(spark, d):
@@ -256,10 +256,9 @@ def _land_policy(spark, d):
 def _land_policy_now(spark, d):
     lines = _policy_lines(spark, d)
     root = work_path(spark, "pbt-policy")
-    # the target's file and the source's file both hold the decision
-    for sub, owner in (("a", "trial_id"), ("b", "source_tag")):
-        (lines.select(F.col(owner).alias("f"), "value").repartition("f")
-              .write.mode("overwrite").partitionBy("f").text(f"{root}/{sub}"))
+    # the target's log and the source's log both hold the decision; a file holds the lines of many owners
+    for sub in ("a", "b"):
+        lines.select("value").write.mode("overwrite").text(f"{root}/{sub}")
     return root
 
 
