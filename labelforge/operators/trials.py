@@ -165,9 +165,8 @@ ERROR_LINE = r"(?m)^(\w+(?:Error|Exception)): (.*)$"
 
 
 def trial_failures(spark: SparkSession, root: str, file_glob: str = "*.txt") -> DataFrame:
-    """Error type by count over all error files (whole file per row)."""
-    files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob)
-                  .text(root, wholetext=True))
+    """Error type by count over all error files, by line: a file may hold any number of errors and is read in splits."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob).text(root)
     lines = files.select(F.explode(F.regexp_extract_all("value", F.lit(ERROR_LINE), 1)).alias("error_type"))
     return lines.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
