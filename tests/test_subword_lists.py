@@ -61,3 +61,27 @@ def test_table_function_from_sql(spark, tmp_path):
     H.read_bodies(spark, str(tmp_path)).createOrReplaceTempView("lf_test_bodies")
     rows = spark.sql("SELECT number, pmid, has_abstract, error IS NULL AS fine FROM body_records(TABLE(lf_test_bodies) PARTITION BY path) ORDER BY number").collect()
     assert [tuple(r) for r in rows] == [(0, "5", False, True), (1, None, None, False)]
+
+
+def test_a_tokenizer_gets_few_characters_at_a_time(monkeypatch):
+    import pandas as pd
+    vocabulary, given = W.read_vocabulary(PATH), []
+    real = W._tokenizer(vocabulary)
+
+    class Watched:
+        def encode_batch(self, texts, **options):
+            given.append(sum(map(len, texts)))
+            return real.encode_batch(texts, **options)
+
+        def decode_batch(self, ids, **options):
+            given.append(sum(map(len, ids)))
+            return real.decode_batch(ids, **options)
+    monkeypatch.setattr(W, "_tokenizer", lambda v: Watched())
+    texts = pd.Series(["word " * 20_000, None, "", *["some words here " * 600] * 100], dtype=object)
+    ids = W.encoder(vocabulary).func(texts)
+    assert ids[1] is None and list(ids[5]) == real.encode(texts[5], add_special_tokens=False).ids
+    assert W.counter(vocabulary).func(texts).tolist() == [0 if i is None else len(i) for i in ids]
+    assert list(W.decoder(vocabulary).func(ids)) == texts.tolist()
+    cut = W.cutter(vocabulary, 7).func(texts)
+    assert cut["n"].tolist() == W.counter(vocabulary).func(texts).tolist() and [list(c) for c in cut["ids"]] == [[] if i is None else list(i)[:7] for i in ids]
+    assert len(given) > 12 and max(given) <= W.CHUNK
