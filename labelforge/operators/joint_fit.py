@@ -29,12 +29,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.session import work_path
 
 MAX_CELLS, BLOCK, HISTORY = 16 << 20, 4096, 8
+#: Entries (tokens) of the rows that a task works on at once; a longer row goes alone.
+ENTRIES = 1 << 16
+#: Partial sums of a block of features that one task adds up at once.
+FAN_IN = 32
 
 
 def hashed_terms(text: Column, num_features: int) -> Column:
@@ -86,29 +91,46 @@ def _targets(y: pd.Series, n_labels: int) -> np.ndarray:
     return out
 
 
-def _summed(table: DataFrame, per_batch, width: int, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """(features x width, width) sums over all rows: a task adds its batches up and sends the blocks that it touched."""
+def _slices(places: pd.Series) -> Iterator[slice]:
+    """Slices of the rows, in order, with at most ``ENTRIES`` places together (at least one row)."""
+    first, total = 0, 0
+    for i, p in enumerate(places):
+        n = 0 if p is None else len(p)
+        if i > first and total + n > ENTRIES:
+            yield slice(first, i)
+            first, total = i, 0
+        total += n
+    if first < len(places):
+        yield slice(first, len(places))
+
+
+def _summed(table: DataFrame, per_batch, width: int, n_extra: int, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features x width, n_extra) sums over all rows: a task adds its batches up, a slice of bounded size at a
+    time, and sends the blocks that it touched; these are added up ``FAN_IN`` tasks at a time, then all."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, extra, seen = np.zeros((n_features, width)), np.zeros(width), False
+        total, extra, seen = np.zeros((n_features, width)), np.zeros(n_extra), False
         for batch in batches:
-            if len(batch):
+            for part in _slices(batch["places"]):
                 seen = True
-                row_sums, more = per_batch(batch)
+                row_sums, more = per_batch(batch.iloc[part])
                 extra += more
                 for place, values in row_sums:
+                    touched, at = np.unique(place, return_inverse=True)
                     for k in range(width):
-                        total[:, k] += np.bincount(place, weights=values[:, k], minlength=n_features)
+                        total[touched, k] += np.bincount(at, weights=values[:, k], minlength=len(touched))
         if seen:
-            touched = [b for b in range(0, n_features, BLOCK) if total[b:b + BLOCK].any()]
-            yield pd.DataFrame({"block": [-1, *touched], "sums": [extra.tobytes(), *[total[b:b + BLOCK].tobytes() for b in touched]]})
+            blocks = [b for b in range(0, n_features, BLOCK) if total[b:b + BLOCK].any()]
+            part = TaskContext.get().partitionId() // FAN_IN
+            yield pd.DataFrame({"block": [-1, *blocks], "part": part, "sums": [extra.tobytes(), *[total[b:b + BLOCK].tobytes() for b in blocks]]})
 
     def add(given: pd.DataFrame) -> pd.DataFrame:
         sums = sum(np.frombuffer(s) for s in given["sums"])
         return pd.DataFrame({"block": given["block"].iloc[:1], "sums": [sums.tobytes()]})
 
-    made = table.mapInPandas(partial, "block long, sums binary").groupBy("block").applyInPandas(add, "block long, sums binary")
-    total, extra = np.zeros((n_features, width)), np.zeros(width)
+    made = table.mapInPandas(partial, "block long, part long, sums binary").groupBy("block", "part").applyInPandas(add, "block long, sums binary")
+    made = made.groupBy("block").applyInPandas(add, "block long, sums binary")
+    total, extra = np.zeros((n_features, width)), np.zeros(n_extra)
     for r in made.collect():                                           # features x width numbers, checked by the caller
         if r.block < 0:
             extra += np.frombuffer(r.sums)
@@ -126,7 +148,7 @@ def _moments(rows: Rows) -> np.ndarray:
         row, place, value = _sparse(given["places"], weights)
         return [(place, np.stack([value, value * value], axis=1))], np.array([len(given), 0.0])
 
-    sums, extra = _summed(rows.table, batch, 2, len(weights))
+    sums, extra = _summed(rows.table, batch, 2, 2, len(weights))
     n = max(extra[0], 1.0)
     spread = np.maximum((sums[:, 1] - sums[:, 0] ** 2 / n) / max(n - 1, 1), 0)
     return np.where(spread > 0, np.sqrt(spread), 1.0)
@@ -163,15 +185,13 @@ class Joint:
             loss = np.where(known, np.logaddexp(0, z) - y * z, 0).sum(axis=0)
             slope = np.where(known, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y, 0)
             part = np.concatenate([loss, slope.sum(axis=0), known.sum(axis=0)])
-            wide = np.zeros((len(place), 3 * models))
-            wide[:, :models] = slope[row] * value[:, None]
-            return [(place, wide)], part
+            return [(place, slope[row] * value[:, None])], part
 
         self.passes += 1
-        total, extra = _summed(self.rows.table, batch, 3 * models, len(weights))
+        total, extra = _summed(self.rows.table, batch, models, 3 * models, len(weights))
         loss, slope_b, n = extra[:models], extra[models:2 * models], np.maximum(extra[2 * models:], 1)
         ridge = np.repeat(self.penalties, labels)
-        return (loss / n + 0.5 * ridge * (w * w).sum(axis=0), total[:, :models] / std[:, None] / n + ridge * w, slope_b / n)
+        return (loss / n + 0.5 * ridge * (w * w).sum(axis=0), total / std[:, None] / n + ridge * w, slope_b / n)
 
 
 def start(rows: Rows, penalties: list[float]) -> Joint:
@@ -249,11 +269,12 @@ class JointModel:
 
         @F.pandas_udf("array<double>")
         def score(places: pd.Series) -> pd.Series:
-            row, place, value = _sparse(places, weights)
             z = np.tile(b, (len(places), 1))
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                z[row[first]] += np.add.reduceat(w[place] * value[:, None], first, axis=0)
+            for part in _slices(places):
+                row, place, value = _sparse(places.iloc[part], weights)
+                if len(row):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    z[part.start + row[first]] += np.add.reduceat(w[place] * value[:, None], first, axis=0)
             return pd.Series(list(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
         return df.withColumn(name, score(hashed_terms(F.col(text_col), len(weights))))

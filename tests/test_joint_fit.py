@@ -77,3 +77,37 @@ def test_population_search_writes_a_policy_log(spark):
     events = TR.policy_events(TR.parse_policy_lines(policy))
     kinds = {r.weight_decay_change for r in TR.policy_mutations(events).collect()}
     assert events.count() == 2 and kinds <= {"perturb_down", "perturb_up", "resample"}
+
+
+def test_tasks_work_on_bounded_slices(spark, monkeypatch):
+    import pandas as pd
+    given, sparse = [], J._sparse
+    rng = np.random.default_rng(0)
+    places = pd.Series([rng.integers(0, 64, n, dtype=np.int32) for n in [3, 0, J.ENTRIES + 1, *[5000] * 60]])
+    places[1] = None
+    assert [i for s in J._slices(places) for i in range(s.start, s.stop)] == list(range(len(places)))
+    model = J.JointModel(rng.normal(size=(64, 2)), np.zeros(2), np.full(64, 0.01), 2)
+    udfs = []
+    monkeypatch.setattr(J.F, "pandas_udf", lambda t: lambda f: udfs.append(f) or (lambda c: c))
+    model.scores(spark.createDataFrame([("a",)], "t string"), "t")
+    monkeypatch.undo()
+    monkeypatch.setattr(J, "_sparse", lambda places, weights: given.append(sum(len(p) for p in places if p is not None)) or sparse(places, weights))
+    got = np.stack(udfs[0](places))
+    assert len(given) > 4 and sorted(given)[-2] <= J.ENTRIES and max(given) == J.ENTRIES + 1
+    row, place, value = sparse(places, model.weights)
+    z = np.zeros((len(places), 2))
+    np.add.at(z, row, model.coefficients[place] * value[:, None])
+    assert np.allclose(got, 1 / (1 + np.exp(-z)))
+
+
+def test_partial_sums_go_by_groups_of_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(400), "t string, y array<double>")
+    rows = J.prepare(df.repartition(7), "t", "y", 3, num_features=64)
+    one = J.start(J.Rows(rows.table.coalesce(1), rows.weights, 3), [0.1])
+    monkeypatch.setattr(J, "FAN_IN", 2)
+    monkeypatch.setattr(J, "ENTRIES", 50)
+    many = J.start(J.Rows(rows.table.repartition(7), rows.weights, 3), [0.1])
+    w = np.random.default_rng(1).normal(size=one.w.shape)
+    for a, b in zip(one.evaluate(w, one.b), many.evaluate(w, many.b)):
+        assert np.allclose(a, b, rtol=1e-10, atol=1e-12)
+    assert np.allclose(one.std, many.std)
