@@ -110,3 +110,18 @@ def test_bm25_equals_its_formula(spark, index):
                     scores[d] = scores.get(d, 0) + part
         want += [(q, d, pytest.approx(s, abs=1e-8)) for d, s in sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]]
     assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_no_word_is_moved_by_itself(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(text_index, "BLOCK_WORDS", 4)
+    given = pa.RecordBatch.from_arrays([pa.array([5, None, 7, 8]), pa.array([["a", "b", "a"], ["a"], [], ["c", "c", "b", "a", "c"]])], names=["doc", "w"])
+    blocks = [b.to_pylist() for b in text_index._blocks(iter([given]))]
+    assert blocks[0] == [{"term": "a", "docs": [5, None], "tfs": [2, 1], "positions": [[0, 2], [0]]}, {"term": "b", "docs": [5], "tfs": [1], "positions": [[1]]}]
+    assert {r["term"]: (r["docs"], r["tfs"], r["positions"]) for r in blocks[1]} == {"c": ([8], [3], [[0, 1, 4]]), "b": ([8], [1], [[2]]), "a": ([8], [1], [[3]])}
+    monkeypatch.undo()
+    path = str(tmp_path / "i")
+    text_index.build(spark.createDataFrame([(1, "x y x"), (2, "y")], "k long, t string").coalesce(1), "k", "t", path)
+    assert spark.read.parquet(f"{path}/postings").count() == 2          # a row a term, not a row a term and document
+    assert sorted((r.term, r.doc, r.tf, r.positions) for r in text_index.postings(spark, path, ["x", "y"]).collect()) == [
+        ("x", 1, 2, [0, 2]), ("y", 1, 1, [1]), ("y", 2, 1, [0])]
