@@ -262,10 +262,18 @@ def land_bodies(records: DataFrame, path: str, wrap: tuple[str, str] = ("<Pubmed
                 separator: str = "") -> str:
     """Group rendered records (pos, batch_id, rec) into one body per batch and
     write each body as its own file (``batch_id=<n>/part-…``)."""
-    bodies = records.groupBy("batch_id").agg(
+    # the texts move once and are sorted once, by batch: collecting a batch and writing it both go along that order
+    dealt = records.repartition("batch_id").sortWithinPartitions("batch_id")
+    bodies = dealt.groupBy("batch_id").agg(
         F.concat(F.lit(wrap[0]),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rec"))),
                                           lambda x: x["rec"]), separator),
                  F.lit(wrap[1])).alias("value"))
-    bodies.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").text(path)
+    conf, by_hash = records.sparkSession.conf, "spark.sql.execution.useObjectHashAggregateExec"
+    before = conf.get(by_hash)
+    try:
+        conf.set(by_hash, "false")
+        bodies.write.mode("overwrite").partitionBy("batch_id").text(path)
+    finally:
+        conf.set(by_hash, before)
     return path

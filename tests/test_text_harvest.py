@@ -123,3 +123,21 @@ def test_single_id_body_is_not_split_and_extra_request_parts(spark):
     assert got == [[" one\n\n\ntwo "], ["one", "two"]]
     r = df.select(H.request_text(F.lit("7"), extra={"api_key": "k"})).first()[0]
     assert r.endswith("&id=7&retmode=text&rettype=abstract&api_key=k")
+
+
+def test_bodies_are_landed_from_one_shuffle_and_one_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+    from labelforge.operators import harvest as H
+    rows, plans, write = spark.range(900).select((F.col("id") % 300).alias("batch_id"), F.col("id").alias("pos"), F.concat(F.lit("r"), "id").alias("rec")), [], DataFrameWriter.text
+
+    def watched(self, path):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        write(self, path)
+    monkeypatch.setattr(DataFrameWriter, "text", watched)
+    before = spark.conf.get("spark.sql.execution.useObjectHashAggregateExec")
+    got = H.read_bodies(spark, H.land_bodies(rows, str(tmp_path / "b"), ("<", ">"), "|")).collect()
+    assert sorted(r.body.strip() for r in got) == sorted(f"<r{i}|r{i + 300}|r{i + 600}>" for i in range(300))
+    plan = plans[0].split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == before
