@@ -23,6 +23,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python gets batches of bounded bytes, whatever the length of the texts
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
