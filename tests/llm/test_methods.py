@@ -352,3 +352,11 @@ def test_archives_are_plain_frames(spark, tmp_path):
     assert records == {r.archive: r.records for r in manifest.collect()}[names[0]]
     with pytest.raises(ValueError):
         list(warc_store.read_archive(io.BytesIO(data[:-3])))
+
+
+def test_line_dedup_counts_the_words_of_all_documents(spark, monkeypatch):
+    from labelforge.llm import line_dedup as L
+    monkeypatch.setattr(L, "SAMPLE", 1, raising=False)          # it used to count one document in number // SAMPLE
+    docs = spark.createDataFrame([(i, f"common words here word{i} and{i}\nshort line") for i in range(50)], "doc_id long, text string")
+    counts = L.word_counts(docs, "doc_id", "text", 5)
+    assert sum(counts.values()) == 250 and sorted(counts.values())[-3:] == [50, 50, 50]
