@@ -360,3 +360,15 @@ def test_line_dedup_counts_the_words_of_all_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"common words here word{i} and{i}\nshort line") for i in range(50)], "doc_id long, text string")
     counts = L.word_counts(docs, "doc_id", "text", 5)
     assert sum(counts.values()) == 250 and sorted(counts.values())[-3:] == [50, 50, 50]
+
+
+def test_line_dedup_does_not_pair_out_a_large_family(spark):
+    from labelforge.llm import line_dedup as L
+    words = [f"w{i}" for i in range(39)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:-1], f"x{i}"])) for i in range(1200)], "doc_id long, text string")
+    lines = L.line_table(docs, "doc_id", "text", 5, 0.8, False).select(*L.FACTS).distinct().persist()
+    pairs, dense = L.block_candidates(lines, 0.8, L._near(0.8, False))
+    n, listed, held = lines.count(), pairs.count(), dense.count()
+    lines.unpersist()
+    assert n == 1200 and held > n and listed < n * n / 2 / 4, (n, listed, held)
+    assert L.report(docs, "doc_id", "text").agg({"n_removed": "sum"}).first()[0] == n - 1
