@@ -372,3 +372,16 @@ def test_line_dedup_does_not_pair_out_a_large_family(spark):
     lines.unpersist()
     assert n == 1200 and held > n and listed < n * n / 2 / 4, (n, listed, held)
     assert L.report(docs, "doc_id", "text").agg({"n_removed": "sum"}).first()[0] == n - 1
+
+
+def test_line_dedup_links_lines_whatever_the_number_of_others(spark, monkeypatch):
+    """Which lines are linked does not follow from the size of the table, nor from how large keys are listed."""
+    rows = edited_lines()
+    want, _ = brute.removed_lines(rows, flips=line_dedup.FLIPS, bits=line_dedup.LEAST_BITS)
+    others = [(1000 + i, "\n".join(" ".join(f"{c}{i}x{k}" for c in "qrstuv") for k in range(100))) for i in range(700)]
+    df = spark.createDataFrame(rows + others, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.report(df).collect() if r.n_removed} == {i for i, _ in want}
+    monkeypatch.setattr(line_dedup, "WORD", 1, raising=False)
+    monkeypatch.setattr(line_dedup, "DENSE", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.report(df).collect() if r.n_removed} == {i for i, _ in want}
