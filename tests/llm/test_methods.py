@@ -385,3 +385,27 @@ def test_line_dedup_links_lines_whatever_the_number_of_others(spark, monkeypatch
     monkeypatch.setattr(line_dedup, "DENSE", 1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.report(df).collect() if r.n_removed} == {i for i, _ in want}
+
+
+def test_components_go_on_with_fewer_edges(spark, monkeypatch):
+    """A long chain settles in few rounds, and the rows of all rounds together are a small multiple of its edges."""
+    n, made = 1000, []
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    put = type(chain).checkpoint
+
+    def counted(self, *args, **options):
+        made.append((out := put(self, *args, **options)).count())
+        return out
+
+    monkeypatch.setattr(type(chain), "checkpoint", counted)
+    rows = components(chain, max_rounds=12).agg(F.min("component"), F.max("component"), F.count("node")).first()
+    assert tuple(rows) == (0, 0, n) and sum(made) < 5 * n, made
+
+
+def test_joined_components_are_those_of_all_edges(spark):
+    from labelforge.llm.common import joined_components
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 20), (40, 40), (None, 1)]
+    tables = [spark.createDataFrame(e, "a long, b long") for e in (first, more)]
+    got = {r.node: r.component for r in joined_components(components(tables[0]), tables[1]).collect()}
+    assert got == {r.node: r.component for r in components(tables[0].union(tables[1])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20, 40: 40}
