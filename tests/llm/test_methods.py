@@ -409,3 +409,20 @@ def test_joined_components_are_those_of_all_edges(spark):
     got = {r.node: r.component for r in joined_components(components(tables[0]), tables[1]).collect()}
     assert got == {r.node: r.component for r in components(tables[0].union(tables[1])).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20, 40: 40}
+
+
+def test_shared_tokens_are_counted_once_a_pair(spark, monkeypatch):
+    """The rows of a pair of groups don't grow with the number of token buckets; the counts are those of all common tokens."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 40, 200, replace=False)
+    held = {g + 1: np.unique(np.concatenate([base[rng.random(200) < 0.9], rng.choice(1 << 40, 5)])).astype(np.uint64) for g in range(6)}
+    rows = [(g, len(t), jaccard_join.pack(t)) for g, t in held.items()]
+    groups = spark.createDataFrame(rows, "gid long, entries long, tokens binary")
+    for bucket in (10_000, 40):
+        monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+        got = [tuple(r) for r in jaccard_join.count_shared(groups).where("g2 IS NOT NULL").collect()]
+        sums = {}
+        for a, b, n in got:
+            sums[a, b] = sums.get((a, b), 0) + n
+        assert sums == {(a, b): len(np.intersect1d(held[a], held[b])) for a in held for b in held if a < b}
+        assert len(got) <= 2 * 15 + 5, (bucket, len(got))
