@@ -426,3 +426,12 @@ def test_shared_tokens_are_counted_once_a_pair(spark, monkeypatch):
             sums[a, b] = sums.get((a, b), 0) + n
         assert sums == {(a, b): len(np.intersect1d(held[a], held[b])) for a in held for b in held if a < b}
         assert len(got) <= 2 * 15 + 5, (bucket, len(got))
+
+
+def test_token_classes_count_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1, raising=False)          # it used to read one document in number // SAMPLE
+    rows = [(i, f"alle aber w{i}") for i in range(64)] + [(64, None), (65, " ")]
+    table = np.frombuffer(jaccard_join.token_classes(spark.createDataFrame(rows, "doc_id long, text string"), "text", 2), np.uint8)
+    common = int(jaccard_join.shingles("alle aber", 2)[0] % np.uint64(jaccard_join.PLACES))
+    assert table[common] == 6 and table.max() == 6                          # 64 // 2 documents have six bits
+    assert not np.frombuffer(jaccard_join.token_classes(spark.createDataFrame([], "doc_id long, text string"), "text", 2), np.uint8).any()
