@@ -4,6 +4,7 @@ import io
 import math
 import re
 import struct
+import time
 from pathlib import Path
 
 import brute
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labelforge.llm import (
+    common,
     decontaminate,
     jaccard_join,
     license_scan,
@@ -435,3 +437,51 @@ def test_token_classes_count_all_documents(spark, monkeypatch):
     common = int(jaccard_join.shingles("alle aber", 2)[0] % np.uint64(jaccard_join.PLACES))
     assert table[common] == 6 and table.max() == 6                          # 64 // 2 documents have six bits
     assert not np.frombuffer(jaccard_join.token_classes(spark.createDataFrame([], "doc_id long, text string"), "text", 2), np.uint8).any()
+
+
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+    return {name for name in held.split(",") if "shuffle_" in name}
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    df = spark.range(5000).select((F.col("id") % 900).alias("k")).groupBy("k").count()
+    before = _shuffle_files(spark)
+    made = [common.written(df, "some"), common.checkpointed(df.where("k > 3"))]
+    for _ in range(50):                                     # they are deleted in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.SHUFFLES_GO, None) is None
+    assert [t.count() for t in made] == [900, 896] and df.count() == 900
+    common.discard(made[0])
+
+
+def test_sketches_lose_no_linked_pair():
+    rng, linked, gone = np.random.default_rng(5), 0, 0
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 1 << 48, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.1, 0.5, 0.9, 0.95, 1])],
+                                      rng.integers(0, 1 << 48, int(rng.integers(0, len(a) // 5 + 2))).astype(np.uint64)]))
+        if not len(b):
+            continue
+        over = len(np.intersect1d(a, b))
+        near = 100 * over >= 80 * (len(a) + len(b) - over)
+        x, y = (1, len(a), jaccard_join.sketch(a)), (2, len(b), jaccard_join.sketch(b))
+        may = jaccard_join.may_link([x], [y], 80)
+        assert may or not near
+        assert may == jaccard_join.may_link([y], [(3, 900, b"\0" * 256), x], 80)
+        linked, gone = linked + near, gone + (not may)
+    assert linked > 200 and gone > 500, (linked, gone)
+    assert not jaccard_join.may_link([x], [x], 80)          # a set is no partner of itself
+
+
+def test_pairs_that_share_a_passage_only_are_not_opened(spark, monkeypatch):
+    shared = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{shared} " + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)]
+    texts += [texts[0] + " more", texts[1] + " again"]
+    opened, whole = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *a: opened.append(pairs.count()) or whole(pairs, *a))
+    out = jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {**{i: i for i in range(12)}, 12: 0, 13: 1}
+    assert sum(opened) <= 4, opened
