@@ -485,3 +485,21 @@ def test_pairs_that_share_a_passage_only_are_not_opened(spark, monkeypatch):
     out = jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2)
     assert {r.doc_id: r.component_id for r in out.collect()} == {**{i: i for i in range(12)}, 12: 0, 13: 1}
     assert sum(opened) <= 4, opened
+
+
+def test_keys_of_lines_are_gone_through_in_parts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*words[:9 + i % 5], f"x{i % 7}"])) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.line_table(df, "doc_id", "text", 5, 0.8, False).where("size >= 5").select(*line_dedup.FACTS).distinct()
+    near = line_dedup._near(0.8, False)
+    monkeypatch.setattr(line_dedup, "WORD", 3)
+    monkeypatch.setattr(line_dedup, "DENSE", 6)
+    pairs, dense = line_dedup.block_candidates(lines, 0.8, near)
+    monkeypatch.setattr(line_dedup, "KEYS", 10)
+    monkeypatch.setattr(line_dedup, "PARTS", 2)
+    names, whole = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda t, name, **o: names.append(name) or whole(t, name, **o))
+    more, held = line_dedup.block_candidates(lines, 0.8, near)
+    assert sorted(more.collect()) == sorted(pairs.collect()) and sorted(held.collect()) == sorted(dense.collect()) and dense.count()
+    assert names.count("line-words-keys") == 2 and names.count("line-blocks-keys") > 2
